@@ -1,18 +1,58 @@
-"""The corpus pipeline: documents through filtering, deduplication, decontamination, redaction and encoding."""
+"""The corpus pipeline: toxic documents go, near copies and benchmark passages go, personal data is replaced, and the rest is encoded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from quillspark.llm import bpe, decontaminate, pii, simhash, toxicity
+from quillspark.llm.shared import new_path, read, stage_table
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5, by a model of the labelled ones among docs."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return docs.where(toxicity.score_column(spark, model)("text") < 0.5)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest id. Rows with one doc_id are one document."""
+    classes = simhash.simhash_components(docs)
+    away = stage_table(classes.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
+    return docs.join(away, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    away = stage_table(found.select("doc_id").distinct(), "pipeline-contaminated")
+    return docs.join(away, "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    return docs.withColumn("text", pii.redact_column(spark)("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests by which the round trip can be checked."""
+    return bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("pii", redact_personal),
+    ("bpe", encode),
+]
+
+#: SQL cannot express the learned and iterative stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.llm.shared import new_path
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
