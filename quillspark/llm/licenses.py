@@ -73,7 +73,8 @@ def license_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines, paragraphs = F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n")
     segments = F.concat(lines, F.when(F.size(paragraphs) > 1, F.filter(paragraphs, lambda p: F.instr(p, "\n") > 0)).otherwise(F.array().cast("array<string>")), F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>")))
     anywhere = sorted({b for _, t in TEMPLATES for b in template_bigrams(t)})
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.explode(segments).alias("segment"))
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), segments.alias("segments"))
+    rows = numbered.select("row", "id", F.explode("segments").alias("segment"))
     rows = rows.select("row", "id", _bigrams(F.col("segment")).alias("bigrams"))
     return rows.where(F.arrays_overlap("bigrams", F.array(*map(F.lit, anywhere))))
 

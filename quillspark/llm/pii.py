@@ -23,6 +23,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -429,8 +430,6 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: S
 
 def redact_column(spark, model: SemiCrf | None = None):
     """A column function from text to the text with its personal data replaced."""
-    import pandas as pd
-
     importable(spark)
     own = model or trained()
 

@@ -139,9 +139,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     found, spans = secret_scan(read(spark, sf_dir, "documents")), F.col("spans")
-    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(spans, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.sha2(_joined(F.filter(spans, lambda x: x["kind"] != "entropy")), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), _joined(spans).alias("spans"))
 

@@ -22,6 +22,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -315,8 +316,6 @@ def scorer_of(model: Model) -> Scorer:
 
 def score_column(spark, model: Model):
     """A column function from text to score, which leaves the other columns where they are."""
-    import pandas as pd
-
     importable(spark)
 
     @F.pandas_udf("double")
