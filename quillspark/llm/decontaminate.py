@@ -9,7 +9,8 @@ shorter than a mask's span are met under one mask without gaps of their own leng
 Everything is built-in functions. Texts become arrays of token hashes, windows are exploded inside
 generated code, and hashes are probed against the benchmark's. Items with equal tokens are one class and
 are compared once. The benchmark's side is broadcast only if it was counted and has at most BROADCAST_KEYS
-seeds; beyond, seeds are joined by shuffle and only hits go back to their texts.
+seeds; beyond, seeds are joined by shuffle. Hits hold ids and alignments; only the texts that have some
+are read again and compared.
 
 Defined results: null and empty texts and items have no tokens and meet nothing; a text that holds an item twice has
 it once, at the first of its best places; of items with equal tokens the smallest item_id stands for the class and
@@ -76,16 +77,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seeds = stage_table(item_seeds(own, short), "decontaminate-seeds")
     tokens = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("w"))
     windows = tokens.where(F.size("w") > 0).select("doc_id", "w", F.size("w").alias("size"), F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    probes = windows.select("doc_id", "w", "i", F.explode(_seeds(F.col("w"), F.col("i"), F.col("size"), short)).alias("seed")).where("seed is not null")
-    item_side = own.select("item_id", "members", F.col("t"), "n")
-    if seeds.count() <= broadcast_keys:
-        index = F.broadcast(seeds.join(item_side, "item_id"))
-        hits = probes.join(index, "seed")
-    else:
-        met = probes.select("doc_id", "i", "seed").join(seeds, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
-        hits = met.join(item_side, "item_id").join(tokens, "doc_id").withColumn("i", F.col("shift")).withColumn("j", F.lit(0))
-    shift = F.col("i") - F.col("j")
-    scored = hits.select("doc_id", "item_id", "members", shift.alias("shift"), (_agreeing(F.col("w"), F.col("t"), shift) / F.col("n")).alias("similarity")).where(F.col("similarity") >= threshold)
+    # token arrays stay inside the generated code that explodes them: carried on, each window would hold a copy
+    probes = windows.select("doc_id", "i", F.explode(_seeds(F.col("w"), F.col("i"), F.col("size"), short)).alias("seed")).where("seed is not null")
+    index = F.broadcast(seeds) if seeds.count() <= broadcast_keys else seeds
+    hits = stage_table(probes.join(index, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct(), "decontaminate-hits")
+    met = stage_table(hits.select("doc_id").distinct(), "decontaminate-met")
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(met, "doc_id", "left_semi").select("doc_id", token_hashes(F.col("text")).alias("w"))
+    pairs = kept.join(hits, "doc_id").join(own, "item_id")
+    scored = pairs.select("doc_id", "item_id", "members", "shift", (_agreeing(F.col("w"), F.col("t"), F.col("shift")) / F.col("n")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.greatest("shift", F.lit(0))).alias("back"))).alias("b"), F.max("members").alias("members"))
     return best.select("doc_id", "item_id", "members", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.back")).alias("start"))
 
