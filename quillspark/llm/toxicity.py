@@ -6,8 +6,8 @@ short fixed list and from labelled rows: words, and word beginnings that come se
 clearly they mark toxic texts. Each hit's context window says whether it is quoted or reported, aimed
 at somebody, or plain; a logistic regression on these counts gives the score.
 
-Learning looks at a bounded sample: at most SAMPLE labelled rows (first by hash of the id), outside the
-held-out fold. Scoring looks at the text alone.
+Learning looks at a bounded sample: at most SAMPLE labelled rows (first by hash of the id) and SAMPLE_BYTES
+of text, outside the held-out fold. Scoring looks at the text alone.
 
 Defined results: null and empty texts have no hits and the score of such; labels of one id disagreeing count as toxic;
 labels without a text or a value are left out; without labels fixed weights hold; repeated rows give
@@ -26,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import crc_mod, importable, map_rows, read
+from quillspark.llm.shared import crc_mod, importable, map_rows, read, stage_table
 
 FOLDS = 5
 #: Labelled rows that are learnt from at most.
 SAMPLE = 6000
+#: Bytes of text that these rows have at most: of a larger sample the first by hash of the text.
+SAMPLE_BYTES = 96 << 20
 #: Tokens before and after a hit that are its context.
 WINDOW = 6
 #: A stem counts where a text has at least so many words that begin with it.
@@ -288,8 +290,15 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     own = own.where(crc_mod("id", FOLDS) != 0).groupBy("id").agg(F.max("y").alias("y"))
     chosen = own.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)  # bounded, so it is broadcast
-    got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null").select("y", "text").distinct().collect()
-    rows = sorted((int(r["y"] > 0), r["text"]) for r in got)
+    got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null")
+    got = stage_table(got.select("y", "text", F.xxhash64("text").alias("h")).distinct(), "toxicity-sample")
+    until, size = None, 0
+    for r in got.select("h", F.octet_length("text").alias("n")).orderBy("h").collect():  # two numbers for each of at most `sample` ids' texts
+        size += r["n"]
+        if size > SAMPLE_BYTES:
+            break
+        until = r["h"]
+    rows = [] if until is None else sorted((int(r["y"] > 0), r["text"]) for r in got.where(F.col("h") <= until).collect())
     model = Model()
     if not 0 < sum(y for y, _ in rows) < len(rows):
         return model
