@@ -25,6 +25,7 @@ other columns are not looked at.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +132,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def _ids(text: str | None, of: dict[bytes, int]) -> np.ndarray:
     words = tokens(text)
-    return np.fromiter((of.get(w, RARE) for w in words), np.int64, len(words))
+    return np.fromiter(map(of.get, words, repeat(RARE)), np.int64, len(words))
 
 
 def pair_counts(train: DataFrame, model) -> DataFrame:
@@ -234,21 +235,26 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for at in range(0, b.num_rows, ROWS_PER_BATCH):
                 part = b.slice(at, ROWS_PER_BATCH)
                 rows: list[tuple] = []
-                for row, doc_id, held_out, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    w = tokens(text)
-                    ids = np.append(np.fromiter((of.get(x, RARE) for x in w), np.int64, len(w)), END)
-                    rare = ids == RARE
-                    keys, back = np.unique(pair_keys(ids), return_inverse=True)
-                    pair = bloom.counts(keys)
-                    word, context = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64)
-                    pair = np.minimum(pair, freq_[context])
-                    logs = np.log10((pair + MU * p1_[word]) / (freq_[context] + MU)) - np.where(word == RARE, per_rare, 0.0)
-                    head = ids[~rare]
-                    whole = {"doc_id": doc_id, "held_out": held_out, "n_tokens": len(ids), "base": float(log_base[head].sum()), "known": int((freq_[head] > 0).sum()), "score": float(logs[back].sum())}
+                numbers, doc_ids, held, texts = (c.to_pylist() for c in part.columns)
+                words_of = [tokens(t) for t in texts]
+                all_ids = [np.append(np.fromiter(map(of.get, w, repeat(RARE)), np.int64, len(w)), END) for w in words_of]
+                starts = np.cumsum([0, *(len(i) for i in all_ids[:-1])])
+                # the batch's pairs at once: each distinct one is probed a single time
+                keys, back = np.unique(np.concatenate([pair_keys(i) for i in all_ids]), return_inverse=True)
+                word, context = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64)
+                pair = np.minimum(bloom.counts(keys), freq_[context])
+                logs = np.log10((pair + MU * p1_[word]) / (freq_[context] + MU)) - np.where(word == RARE, per_rare, 0.0)
+                ids = np.concatenate(all_ids)
+                common = ids != RARE
+                scores = np.add.reduceat(logs[back], starts).tolist()
+                bases = np.add.reduceat(np.where(common, log_base[ids], 0.0), starts).tolist()
+                known_ = np.add.reduceat((common & (freq_[ids] > 0)).astype(np.int64), starts).tolist()
+                rares = np.add.reduceat((~common).astype(np.int64), starts).tolist()
+                for k, row in enumerate(numbers):
+                    whole = {"doc_id": doc_ids[k], "held_out": held[k], "n_tokens": len(all_ids[k]), "base": bases[k], "known": known_[k], "score": scores[k]}
                     rows.append((row, f" {row}", 0, whole))  # no word has a space: these rows meet no count
-                    if rare.any():
-                        for x, times in Counter(x for x, r in zip(w, rare.tolist(), strict=False) if r).items():
-                            rows.append((row, x.decode(), times, None))
+                    if rares[k]:
+                        rows += [(row, x.decode(), times, None) for x, times in Counter([x for x in words_of[k] if x not in of]).items()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (fold == 0).alias("held_out"), text_col)
