@@ -683,6 +683,81 @@ def sweep_rollup(spark, sf_dir):
     return sweep.rollup("doc").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("compile") == "PASS").alias("passed"), F.sum("seconds").alias("seconds"), F.median("seconds").alias("median_seconds"), F.max("seconds").alias("max_seconds"))
 
 
+# ---- sources and facts of documents
+
+
+@query("SELECT user_id AS page, min('page-' || lpad((event_id % 500)::VARCHAR, 4, '0') || '.png') AS image FROM events GROUP BY user_id")
+def page_images(spark, sf_dir):
+    files = read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.concat(F.lit("page-"), F.lpad((F.col("event_id") % 500).cast("string"), 4, "0"), F.lit(".png")).alias("path"))
+    return manifest.page_images(files)
+
+
+@query(f"SELECT page, verdict FROM {_OUTCOMES_SQL} WHERE page % 4 > 0")
+def needs_review(spark, sf_dir):
+    """Outcomes with findings; every fourth has none."""
+    found = F.when(F.col("page") % 4 > 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return manifest.needs_review(outcomes(spark, sf_dir).withColumn("findings", found)).select("page", "verdict")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE (event_id % 40) / 40.0::DOUBLE END AS pressure, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id % 90 END AS pages, CASE WHEN event_id % 3 = 0 THEN -1.0 ELSE event_id % 600 + 0.5 END::DOUBLE AS width FROM events""")
+def host_and_document_facts(spark, sf_dir):
+    """Swap, page count and page size from the text that programs print; a third print nothing."""
+    from quillspark.sources.records import page_count, page_size
+
+    e = read(spark, sf_dir, "events").select("event_id")
+    said = lambda *parts: F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(*parts))
+    n = lambda k: (F.col("event_id") % k).cast("string")
+    swap, info = said(F.lit("vm.swapusage: total = 40.00M  used = "), n(40), F.lit(".00M  free = 1.0M")), said(F.lit("Title: x\nPages:   "), n(90), F.lit("\nPage size:      "), n(600), F.lit(".5 x 685 pts\n"))
+    pages = F.when(info != "", page_count(info))
+    return e.select("event_id", F.coalesce(scalars.swap_pressure(swap), F.lit(-1.0)).alias("pressure"), F.coalesce(pages, F.lit(-1)).alias("pages"), F.coalesce(page_size(info)["width"], F.lit(-1.0)).alias("width"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS page, o_custkey % 100 AS x0, o_orderkey % 100 AS y0, o_custkey % 100 + 20 AS x1, o_orderkey % 100 + 30 AS y1 FROM orders),
+s AS (SELECT *, CASE WHEN greatest(x1, y1) > 100 THEN 1000.0 ELSE 100.0 END::DOUBLE AS scale FROM b)
+SELECT page, round(greatest(0, (x0 - 1.5::DOUBLE * scale / 100) / scale * 640), 4) AS x0, round(least(480, (y1 + 1.5::DOUBLE * scale / 100) / scale * 480), 4) AS y1 FROM s""")
+def masked_boxes(spark, sf_dir):
+    """A box a page on a grid that is percent or thousandths, padded, in pixels."""
+    c, o = F.col("o_custkey") % 100, F.col("o_orderkey") % 100
+    box = F.struct(*(v.cast("double").alias(n) for v, n in zip((c, o, c + 20, o + 30), ("x0", "y0", "x1", "y1"), strict=True)))
+    masked = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), scalars.masked_box(box, F.array(box), F.lit(640), F.lit(480)).alias("m"))
+    return masked.select("page", F.round("m.x0", 4).alias("x0"), F.round("m.y1", 4).alias("y1"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey % 300 AS x, l_suppkey % 400 AS y, l_linenumber % 4 * 120 AS dx, l_quantity::DOUBLE AS w FROM lineitem)
+SELECT page, count(*) AS strokes, round(min(0.5::DOUBLE * x + 10), 4) AS x0, round(max(0.5::DOUBLE * (y + 7) + 20), 4) AS y1, round(sum(w * 0.5::DOUBLE), 4) AS width,
+    (sum(round_even((n * 9) % 101 * 255 / 100::DOUBLE, 0)))::BIGINT AS red, count(*) FILTER (dx * 0.5 > 300 AND 7 * 0.5 < 1) AS rules FROM s GROUP BY page""")
+def strokes_from_vectors(spark, sf_dir):
+    """Vector pages written of lineitem and read again: paths, affine matrices, colours, widths."""
+    li = F.col("l_linenumber")
+    x, y, dx = F.col("l_partkey") % 300, F.col("l_suppkey") % 400, li % 4 * 120
+    path = F.format_string('<path fill="none" stroke-width="%s" stroke="rgb(%d%%, 0%%, 0%%)" transform="matrix(0.5 0 0 0.5 10 20)" d="M %d %d L %d %d"/>', F.col("l_quantity").cast("double"), (li * 9) % 101, x, y, x + dx, y + 7)
+    pages = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), path.alias("p")).groupBy("page").agg(F.concat(F.lit("<svg>"), F.array_join(F.collect_list("p"), "\n"), F.lit("</svg>")).alias("svg"))
+    s = ink.strokes(pages)
+    return s.groupBy("page").agg(F.count(F.lit(1)).alias("strokes"), F.round(F.min("x0"), 4).alias("x0"), F.round(F.max("y1"), 4).alias("y1"), F.round(F.sum("stroke_w"), 4).alias("width"), F.sum("colour.r").alias("red"), F.count_if(ink.is_rule(F.col("span_w"), F.col("span_h"))).alias("rules"))
+
+
+@query(r"""
+SELECT doc_id, regexp_replace(split_part(string_split(t, '\begin{document}')[-1], '\end{document}', 1), '^\s+|\s+$', '', 'g') = regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole FROM (SELECT doc_id, text, '\begin{document}' || chr(10) || text || chr(10) || '\end{document}' AS t FROM documents)""".replace("\\\\", "\\"))
+def document_bodies(spark, sf_dir):
+    t = F.concat(F.lit("\\begin{document}\n"), F.col("text"), F.lit("\n\\end{document}"))
+    return read(spark, sf_dir, "documents").select("doc_id", (scalars.document_body(t) == text.strip(F.col("text"))).alias("whole"))
+
+
+@query(f"""
+SELECT page, CASE WHEN a = 'fail' OR d = 'fail' THEN 'fail' WHEN a = 'skipped' OR d = 'skipped' THEN 'unverified' ELSE 'pass' END AS verdict, concat_ws(',', CASE WHEN a = 'skipped' THEN 'ascii' END, CASE WHEN d = 'skipped' THEN 'delimiters' END) AS unverified,
+    (a = 'fail')::INT + (d = 'fail')::INT AS findings FROM {_OUTCOMES_SQL}""")
+def gate_verdicts(spark, sf_dir):
+    def of(name):
+        s = F.col("gates")[name]
+        return F.when(s == "pass", verdicts.gate(name)).when(s == "skipped", verdicts.skipped(name)).otherwise(verdicts.gate(name, F.array(verdicts.failure(F.lit("x")))))
+
+    g = outcomes(spark, sf_dir).select("page", F.array(of("ascii"), of("delimiters")).alias("g"))
+    return g.select("page", verdicts.verdict(F.col("g")).alias("verdict"), F.array_join(verdicts.unverified(F.col("g")), ",").alias("unverified"), F.size(verdicts.findings(F.col("g"))).alias("findings"))
+
+
 # ---- whole plans
 
 
