@@ -1,11 +1,14 @@
-"""Python workers: what they need to import this package."""
+"""What workers share: the package, and a folder."""
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_own_folder: list[str] = []
+
 
 def importable() -> None:
     """Let workers on this machine import the package wherever the driver was started; clusters get it by --py-files or an image."""
@@ -14,3 +17,16 @@ def importable() -> None:
         root, own = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
         if root not in own.get("PYTHONPATH", "").split(":"):
             own["PYTHONPATH"] = f"{root}:{own.get('PYTHONPATH', '')}".rstrip(":")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local sessions without it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="quillspark-"))
+    return _own_folder[0]

@@ -777,15 +777,13 @@ def convert_pages(spark, sf_dir):
 @query()
 def stream_convert(spark, sf_dir):
     """The same as a stream of files that stops when it has read what is there; what it wrote is read again."""
-    import tempfile
+    import uuid
 
+    from quillspark.functions.workers import shared_folder
     from quillspark.operators.manifest import OUTCOME
     from quillspark.streaming.convert import read_pages, run_stream
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-    import uuid
-
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/quillspark/stream-{uuid.uuid4().hex}"
     _recognised(spark, sf_dir).repartition(2).write.parquet(f"{at}/in")
     run_stream(read_pages(spark, f"{at}/in", 2), convert_plan.emit, f"{at}/manifest", f"{at}/checkpoint")
     rows = spark.read.schema(OUTCOME).json(f"{at}/manifest")
