@@ -30,7 +30,7 @@ from quillspark.llm.shared import crc_mod, importable, map_rows, read, stage_tab
 
 FOLDS = 5
 #: Labelled rows that are learnt from at most.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Bytes of text that these rows have at most: of a larger sample the first by hash of the text.
 SAMPLE_BYTES = 96 << 20
 #: Tokens before and after a hit that are its context.
@@ -103,43 +103,75 @@ class Automaton:
 
 
 class Trie:
-    def __init__(self, terms: list[str]) -> None:
-        self.root: dict = {}
+    """Terms that allow one number of edits. A node holds the nodes below it by character, the term that ends there
+    under "", and the least and most characters still to come under None."""
+
+    def __init__(self, terms: list[str], edits: int) -> None:
+        self.edits, self.automaton, self.root = edits, Automaton(edits), {None: (1 << 30, 0)}
+        # of edits + 1 parts of a term one stands unchanged in every word that is recognised, at most `edits` places
+        # away: for each length of words, the slices to look at and what they hold then; it rules most words out
+        looks: dict[int, dict[tuple[int, int], set[str]]] = {}
         for term in terms:
             node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
+            for at, c in enumerate((*term, "")):
+                left = len(term) - at
+                node[None] = (min(node[None][0], left), max(node[None][1], left))
+                if c:
+                    node = node.setdefault(c, {None: (1 << 30, 0)})
             node[""] = term
-        self.automata = {d: Automaton(d) for d in {allowed_edits(len(t)) for t in terms}}
-        # of edits + 1 parts of a term one stands unchanged in every word that is recognised: a first look that rules most words out
-        firsts, lasts, inner = set(), set(), set()
-        for term in terms:
-            parts = allowed_edits(len(term)) + 1
-            cuts = [len(term) * k // parts for k in range(parts + 1)]
-            pieces = [re.escape(term[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            firsts.add(pieces[0])
-            lasts.add(pieces[-1])
-            inner.update(pieces[1:-1])
-        looks = [f"^(?:{'|'.join(sorted(firsts))})", f"(?:{'|'.join(sorted(lasts))})$", *([f"(?:{'|'.join(sorted(inner))})"] if inner else [])]
-        self.first_look = re.compile("|".join(looks)).search
-
-    def find(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its allowed edits, the first by name among equals."""
+            cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
+            for n in range(len(term) - edits, len(term) + edits + 1):
+                for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    shifts = [0] if k == 0 else [n - len(term)] if k == edits else range(-edits, edits + 1)
+                    for shift in shifts:
+                        if i + shift >= 0 and j + shift <= n:
+                            looks.setdefault(n, {}).setdefault((i + shift, j + shift), set()).add(term[i:j])
+        self._looks = {n: [(i, j, held) for (i, j), held in slices.items()] for n, slices in looks.items()}
+
+    def first_look(self, word: str) -> bool:
+        for i, j, held in self._looks.get(len(word), ()):
+            if word[i:j] in held:
+                return True
+        return False
+
+    def find(self, word: str) -> tuple[int, str] | None:
+        """(edits, term) of the nearest term, the first by name among equals."""
         if not self.first_look(word):
             return None
         best: tuple[int, str] | None = None
-        for d, automaton in self.automata.items():
-            todo = [(self.root, automaton.start())]
-            while todo:
-                node, state = todo.pop()
-                for c, below in node.items():
-                    if c == "":
-                        e = automaton.accepts(state, len(word))
-                        if e is not None and e <= allowed_edits(len(below)) and (best is None or (e, below) < best):
-                            best = (e, below)
-                    elif (after := automaton.step(state, c, word)) is not None:
+        step, n, edits = self.automaton.step, len(word), self.edits
+        todo = [(self.root, self.automaton.start())]
+        while todo:
+            node, state = todo.pop()
+            for c, below in node.items():
+                if c == "":
+                    e = self.automaton.accepts(state, n)
+                    if e is not None and (best is None or (e, below) < best):
+                        best = (e, below)
+                elif c is not None and (after := step(state, c, word)) is not None:
+                    least, most = below[None]
+                    # positions of the word that are alive lie from after[0] on; what is left must still fit
+                    if least <= n - after[0] + edits and most + edits + self.automaton.width >= n - after[0]:
                         todo.append((below, after))
-        return best and (best[1], best[0])
+        return best
+
+
+class Lexicon:
+    """Terms by the edits that their length allows: those without any are looked up, the others lie in tries."""
+
+    def __init__(self, terms: list[str]) -> None:
+        by: dict[int, list[str]] = {}
+        for t in terms:
+            by.setdefault(allowed_edits(len(t)), []).append(t)
+        self.exact = set(terms)
+        self.tries = [Trie(own, d) for d, own in sorted(by.items()) if d]
+
+    def find(self, word: str) -> tuple[str, int] | None:
+        """The nearest term within its allowed edits and their number; the first by name among equals."""
+        if word in self.exact:
+            return word, 0
+        found = [f for t in self.tries if (f := t.find(word))]
+        return (min(found)[1], min(found)[0]) if found else None
 
 
 @dataclass
@@ -158,7 +190,7 @@ class Scorer:
     KEPT = 400_000
 
     def __init__(self, model: Model) -> None:
-        self.model, self.trie = model, Trie(model.terms)
+        self.model, self.lexicon = model, Lexicon(model.terms)
         self.stems = set(model.stems)
         self.lengths = sorted({len(s) for s in model.stems})
         self._kinds: dict[str, tuple | None] = {}
@@ -168,7 +200,7 @@ class Scorer:
         for n in self.lengths:
             if word[:n] in self.stems:
                 return "stem", word[:n]
-        if len(word) > 3 and (found := self.trie.find(word)):
+        if len(word) > 3 and (found := self.lexicon.find(word)):
             return ("term" if found[1] == 0 else "near"), found[0]
         return None
 
@@ -179,7 +211,7 @@ class Scorer:
         if len(self._kinds) > self.KEPT:
             self._kinds.clear()
             self._special.clear()
-        for w in distinct - self._kinds.keys():
+        for w in distinct.difference(self._kinds):
             kind = self._kinds[w] = self._kind(w)
             if kind:
                 self._special.add(w)

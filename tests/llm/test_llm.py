@@ -212,7 +212,7 @@ def edits(a, b):
 
 
 def test_automaton_is_edit_distance():
-    trie = toxicity.Trie(toxicity.SEED_TERMS)
+    lexicon = toxicity.Lexicon(toxicity.SEED_TERMS)
     r = random.Random(3)
     for _ in range(1500):
         w = list(r.choice(toxicity.SEED_TERMS))
@@ -221,7 +221,7 @@ def test_automaton_is_edit_distance():
             w[at : at + r.randint(0, 1)] = r.choice(["", "a", "t", "zz"])
         w = "".join(w)
         near = sorted((edits(w, t), t) for t in toxicity.SEED_TERMS if edits(w, t) <= toxicity.allowed_edits(len(t)))
-        assert trie.find(w) == ((near[0][1], near[0][0]) if near else None), w
+        assert lexicon.find(w) == ((near[0][1], near[0][0]) if near else None), w
 
 
 def test_quotation_is_not_abuse():
