@@ -40,6 +40,8 @@ ROLL = 64 << 20
 CHUNK = 1 << 20
 #: Over so many parts the rows of one digest are dealt when revisits are decided.
 SALTS = 64
+#: Tasks that normalise archives at most.
+TASKS = 20_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -233,7 +235,9 @@ def normalise(folder: str, manifest: DataFrame) -> DataFrame:
         index.close()
         return pa.Table.from_batches([_batches(rows, schema)])
 
-    decided = revisits(manifest).unionByName(names)
+    # the decisions are few bytes an archive, the archives are not: as many tasks as archives, which are not to be put together by size
+    tasks = min(max(1, manifest.select("archive").distinct().count()), TASKS)
+    decided = revisits(manifest).unionByName(names).repartition(tasks, "archive")
     return stage_table(decided.groupBy("archive").applyInArrow(run, INDEX), "warc-index")
 
 
