@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.shared import ROWS_PER_BATCH, crc_mod, importable, read, stage_table
+from quillspark.functions.workers import importable
+from quillspark.llm.shared import ROWS_PER_BATCH, crc_mod, read, stage_table
 
 FOLDS = 10
 #: Model words, with the rare class and the end token.
@@ -94,7 +95,7 @@ def pair_keys(ids: np.ndarray) -> np.ndarray:
 
 def _partial_counts(df: DataFrame, make, key: str) -> DataFrame:
     """Counts of what make()(text) lists, summed within tasks and then over all: (key, c)."""
-    importable(df.sparkSession)
+    importable()
     schema = to_arrow_schema(T.StructType.fromDDL(f"key {key}, c long"))
 
     def run(batches):
@@ -179,7 +180,7 @@ def build_filter(pairs: DataFrame, max_bits: int = MAX_BITS, min_pair: int = MIN
             break
         entries, least = entries + r["entries"], r["c"]
     bits = max(64, min(max_bits, -(-entries * BITS_PER_ENTRY // 64) * 64))
-    importable(pairs.sparkSession)
+    importable()
     schema = to_arrow_schema(T.StructType.fromDDL("word long, bits long"))
 
     def run(batches):
@@ -221,7 +222,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     p1[RARE] = (rare_words + 0.1 * rare_types) / total
     freq[RARE] = rare_words
     known = spark.sparkContext.broadcast((bits, freq, p1))
-    importable(spark)
+    importable()
     id_type = df.schema[id_col].dataType.simpleString()
     out = f"row long, word string, times long, doc struct<doc_id: {id_type}, held_out: boolean, n_tokens: long, base: double, known: long, score: double>"
     schema = to_arrow_schema(T.StructType.fromDDL(out))

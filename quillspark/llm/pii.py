@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import importable, map_rows, read
+from quillspark.functions.workers import importable
+from quillspark.llm.shared import map_rows, read
 
 KINDS = ["email", "ip", "card", "phone"]
 OUT = 4  # the type of a token outside
@@ -430,7 +431,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: S
 
 def redact_column(spark, model: SemiCrf | None = None):
     """A column function from text to the text with its personal data replaced."""
-    importable(spark)
+    importable()
     own = model or trained()
 
     @F.pandas_udf("string")

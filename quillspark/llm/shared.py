@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,23 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillspark.functions.workers import importable, shared_folder
+
 #: Rows that one output batch of a Python stage has at most; bounds the Python workers' memory.
 ROWS_PER_BATCH = 512
 
-_local_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local sessions without it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="quillspark-"))
-    return "file://" + _local_folder[0]
-
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
@@ -47,22 +33,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package wherever the driver was started; clusters get it by --py-files or an image."""
-    if spark.sparkContext.master.startswith("local"):
-        root = str(Path(__file__).resolve().parents[2])
-        here = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if root not in here.split(":"):
-            spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{here}".rstrip(":")
-
-
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable], *, finish: bool = False) -> DataFrame:
     """Run Python over Arrow batches.
 
     make() runs once per task and returns a function from lists (one per input column) to
     lists (one per output column); with finish it is called once more with None at the end.
     """
-    importable(df.sparkSession)
+    importable()
     out_type = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out_type)
 

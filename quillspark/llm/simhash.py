@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.shared import importable, map_rows, read, stage_table
+from quillspark.functions.workers import importable
+from quillspark.llm.shared import map_rows, read, stage_table
 
 SEED = 42
 MAX_BITS = 3
@@ -182,7 +183,7 @@ def _bucket_links(keys: DataFrame, level: int, bucket: int = BUCKET) -> DataFram
         if found:
             yield links(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    importable(keys.sparkSession)
+    importable()
     by = ["key", "key2"] if level else ["key"]
     return keys.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _LINK_TYPE)
 

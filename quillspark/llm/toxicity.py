@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import crc_mod, importable, map_rows, read, stage_table
+from quillspark.functions.workers import importable
+from quillspark.llm.shared import crc_mod, map_rows, read, stage_table
 
 FOLDS = 5
 #: Labelled rows that are learnt from at most.
@@ -357,7 +358,7 @@ def scorer_of(model: Model) -> Scorer:
 
 def score_column(spark, model: Model):
     """A column function from text to score, which leaves the other columns where they are."""
-    importable(spark)
+    importable()
 
     @F.pandas_udf("double")
     def toxicity(texts: pd.Series) -> pd.Series:

@@ -21,19 +21,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.shared import importable, new_path, read, stage_table
+from quillspark.functions.workers import importable
+from quillspark.llm.shared import new_path, read, stage_table
 
 #: Bytes of records, before compression, after which an archive is full.
 ROLL = 64 << 20
@@ -146,6 +146,10 @@ class _File:
 
     def close(self) -> None:
         self.out.close()
+        from pyarrow import fs
+
+        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:  # an earlier attempt at the task has put the same file here
+            self.fs.delete_file(self.path)
         self.fs.move(self.part, self.path)
 
 
@@ -156,7 +160,7 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     """Write pages (page_id, url, html) as archives in folder; returns their written manifest."""
-    importable(pages.sparkSession)
+    importable()
     schema = to_arrow_schema(T.StructType.fromDDL(MANIFEST))
 
     def run(batches):
@@ -208,7 +212,7 @@ def normalise(folder: str, manifest: DataFrame) -> DataFrame:
     One task handles an archive: it holds the archive's revisit decisions, as many as the archive
     has records at most, and a record at a time.
     """
-    importable(manifest.sparkSession)
+    importable()
     names = manifest.groupBy("archive").agg(F.lit(-1).alias("ordinal")).select("archive", "ordinal", F.lit(None).cast("string").alias("to_archive"), F.lit(None).cast("int").alias("to_ordinal"), F.lit(None).cast("long").alias("to_page"))
     schema = to_arrow_schema(T.StructType.fromDDL(INDEX))
 
@@ -243,7 +247,7 @@ def normalise(folder: str, manifest: DataFrame) -> DataFrame:
 
 def read_records(folder: str, index: DataFrame) -> DataFrame:
     """One row per indexed record, read from its member alone; payloads are hashed anew and compared with the header."""
-    importable(index.sparkSession)
+    importable()
     schema = to_arrow_schema(T.StructType.fromDDL(RECORDS))
 
     def run(batches):
