@@ -12,7 +12,7 @@ from quillspark.llm.shared import new_path, read, stage_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5, by a model of the labelled ones among docs."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return docs.where(toxicity.score_column(spark, model)("text") < 0.5)
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
-    return docs.withColumn("text", pii.redact_column(spark)("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return pii.redact_documents(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

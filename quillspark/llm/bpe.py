@@ -25,11 +25,11 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quillspark.llm.shared import map_rows, read
+from quillspark.llm.shared import kept, map_rows, read
 
-#: Pieces and states that a worker remembers; beyond, it starts to remember anew. Results don't depend on it.
-PIECES = 1_000_000
-STATES = 300_000
+#: Pieces and states that a worker remembers, some 300 MB at most; beyond, it starts to remember anew. Results don't depend on it.
+PIECES = 600_000
+STATES = 150_000
 CHUNK_IDS = 1 << 16
 
 
@@ -83,7 +83,7 @@ class Transducer:
     def _compatible(self, left: bytes, right: bytes) -> bool:
         """BPE leaves left + right as these two, and right as itself."""
         if (known := self._pairs.get((left, right))) is None:
-            if len(self._pairs) > 4 * STATES:
+            if len(self._pairs) > 2 * STATES:
                 self._pairs.clear()
             whole = len(right) == 1 or self._halves(right) is not None
             known = self._pairs[left, right] = whole and (not left or self._never_joined(left, right))
@@ -234,15 +234,14 @@ class Tokenizer:
         machine.close()
 
 
-_tokenizers: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer(path: str, pattern: str) -> Tokenizer:
     """This process's tokenizer of a file; what it has learnt of pieces and states serves all tasks."""
-    if (path, pattern) not in _tokenizers:
+
+    def make() -> Tokenizer:
         gc.set_threshold(200_000, 50, 1000)  # states and pieces live long and hold no cycles: looking through them often is vain
-        _tokenizers[path, pattern] = Tokenizer(load_ranks(path), pattern)
-    return _tokenizers[path, pattern]
+        return Tokenizer(load_ranks(path), pattern)
+
+    return kept(("bpe", path, pattern), make)
 
 
 def vocabulary() -> tuple[str, str]:

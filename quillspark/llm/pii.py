@@ -23,12 +23,10 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.workers import importable
-from quillspark.llm.shared import map_rows, read
+from quillspark.llm.shared import map_rows, read, replace_column
 
 KINDS = ["email", "ip", "card", "phone"]
 OUT = 4  # the type of a token outside
@@ -429,16 +427,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: S
     return map_rows(df.select(F.col(id_col).alias("doc_id"), text_col), schema, make)
 
 
-def redact_column(spark, model: SemiCrf | None = None):
-    """A column function from text to the text with its personal data replaced."""
-    importable()
+def redact_documents(df: DataFrame, text_col: str = "text", model: SemiCrf | None = None) -> DataFrame:
+    """df with the personal data in its text replaced by its kind, the other columns as they are."""
     own = model or trained()
 
-    @F.pandas_udf("string")
-    def redacted(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, find_spans(t, own)[1]) for t in texts], dtype=object)
+    def make():
+        return lambda texts: [redact(t, find_spans(t, own)[1]) for t in texts]
 
-    return redacted
+    return replace_column(df, text_col, make)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

@@ -62,6 +62,41 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
     return df.mapInArrow(run, out_type)
 
 
+def _on_text(df: DataFrame, column: str, make: Callable[[], Callable], use: Callable) -> DataFrame:
+    importable()
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make()
+        for b in batches:
+            for first in range(0, b.num_rows, ROWS_PER_BATCH):
+                part = b.slice(first, ROWS_PER_BATCH)
+                yield use(part, at, own(part.column(at).to_pylist()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """Rows for whose value in column the function that make() gives is true; it takes and gives lists. Other columns pass as they are."""
+    return _on_text(df, column, make, lambda part, _, kept: part.filter(pa.array(kept, pa.bool_())))
+
+
+def replace_column(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """df with column replaced by what the function that make() gives makes of it; other columns pass as they are."""
+    return _on_text(df, column, make, lambda part, at, new: part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type)))
+
+
+_kept: dict = {}
+
+
+def kept(name: tuple, make: Callable):
+    """An object that this worker process keeps from task to task. Only the last one asked for is kept, so operators that follow each other don't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -22,12 +22,10 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.workers import importable
-from quillspark.llm.shared import crc_mod, map_rows, read, stage_table
+from quillspark.llm.shared import crc_mod, filter_rows, kept, map_rows, read, stage_table
 
 FOLDS = 5
 #: Labelled rows that are learnt from at most.
@@ -344,28 +342,19 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return model
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """This process's scorer of a model, with what it has learnt of words."""
-    name = repr(model)
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(model)
-    return _scorers[name]
+    return kept(("toxicity", repr(model)), lambda: Scorer(model))
 
 
-def score_column(spark, model: Model):
-    """A column function from text to score, which leaves the other columns where they are."""
-    importable()
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows whose score is under the threshold, all columns as they are."""
 
-    @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
+    def make():
         own = scorer_of(model)
-        return pd.Series([own.score(t) for t in texts], dtype="float64")
+        return lambda texts: [own.score(t) < threshold for t in texts]
 
-    return toxicity
+    return filter_rows(df, text_col, make)
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
