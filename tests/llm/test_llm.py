@@ -574,6 +574,25 @@ def test_filter_fits_its_bound(spark):
     assert len(words) * 64 <= 1 << 16 and least > lm.MIN_PAIR
 
 
+def test_every_pair_of_every_word_is_scored(spark):
+    """Against exact counts: pairs seen once and pairs of rare words count, whatever vocabulary and shards."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["the", "of", *(f"rare{k}" for k in range(300))]) for _ in range(40)) for _ in range(120)]
+    rows = docs(spark, [*AWKWARD, *texts])
+    got = lm.score_documents(rows).collect()
+    of = {i: [None, *lm.tokens(t), None] for i, t in enumerate([*AWKWARD, *texts])}
+    train = [of[x.doc_id] for x in got if not x.held_out]
+    one, two = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+    level = lambda c: 2 ** (c.bit_length() - 1) if c else 0
+    wants = {}
+    for x in got:
+        wants[x.doc_id] = sum(math.log10((level(two[h, w]) + lm.MU * (one[w] + 0.1) / (n + 0.1 * (v + 1))) / (one[h] + lm.MU)) for h, w in zip(of[x.doc_id], of[x.doc_id][1:], strict=False))
+    for rows_ in (got, lm.score_documents(rows, vocabulary=4).collect(), lm.score_documents(rows, shard_tokens=100).collect()):
+        assert all(x.score > wants[x.doc_id] - 1e-9 for x in rows_)  # false hits only add
+        assert np.mean([abs(x.score - wants[x.doc_id]) < 0.02 * abs(wants[x.doc_id]) for x in rows_]) > 0.9
+
+
 # ---- registration
 
 
