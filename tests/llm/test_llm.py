@@ -593,6 +593,14 @@ def test_every_pair_of_every_word_is_scored(spark):
         assert np.mean([abs(x.score - wants[x.doc_id]) < 0.02 * abs(wants[x.doc_id]) for x in rows_]) > 0.9
 
 
+def test_shard_filter_holds_all_pairs():
+    keys, c = np.random.default_rng(1).integers(0, 2**63, 50_000, dtype=np.uint64), np.arange(50_000) % 40 + 1
+    words = lm.shard_filter(keys, c)
+    got = lm.LogBloom(words).counts(keys)
+    assert len(words) * 64 >= lm.BITS_PER_ENTRY * (np.floor(np.log2(c)) + 1).sum()
+    assert (got[c == 1] >= 1).all() and (got >= np.where(c == 1, 1, 1.5 * 2 ** np.floor(np.log2(c)))).all()
+
+
 # ---- registration
 
 
