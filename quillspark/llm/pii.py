@@ -40,7 +40,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"\(?[0-9][0-9 ().\-/]{5,}[0-9]|@|(?:[\[(]at[\])]| at )[ ]?[\w.-]{1,64}[ ]?(?:[\[(]dot[\])]| dot )", re.A)
+#: A number, an at sign, or the word at before a host with a spelled-out dot or with a full stop that a letter follows at once; at and dot in any case, with or without brackets.
+_TRIGGER = re.compile(r"\(?[0-9][0-9 ()+.\-/]{5,}[0-9]|@|(?<![^\W\d_])[aA][tT](?![^\W\d_])[^\S\n]*[\])]?[^\S\n]*[\w.-]{1,253}?(?:[^\S\n]*[\[(]?[^\S\n]*(?<![^\W\d_])[dD][oO][tT](?![^\W\d_])|\.[^\W\d_])")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 
 

@@ -322,6 +322,25 @@ def test_semi_markov_finds_forms_beyond_patterns():
     assert right / total > 0.9
 
 
+def test_every_form_lies_in_a_region():
+    r = random.Random(12)
+    for _ in range(1500):
+        text, spans = pii.made_sentence(r)
+        for a, b, _ in spans:
+            for value in (text[a:b], text[a:b].upper(), text[a:b].replace(" ", "\t") if " at " in text[a:b] else text[a:b]):
+                assert any(s <= 9 and 9 + len(value) <= e for s, e in pii.regions("x " * 4 + " " + value + " y" * 90)), value
+
+
+def test_spelled_out_addresses_in_any_case():
+    model = pii.trained()
+    for value in ("jane(at)acme.com", "jane[at]acme.com", "jane [AT] acme [DOT] com", "jane AT acme DOT com", "jane (At) acme (Dot) com", "jane at müller dot de"):
+        text = f"mail {value} today"
+        assert (0, 5, 5 + len(value)) in pii.find_spans(text, model)[1], value
+        assert value not in pii.redact(text, pii.find_spans(text, model)[1])
+    for text in ("we met at the office. Then we left", "look at this dotted line", "at 10.30 we eat"):
+        assert pii.find_spans(text, model) == ([], [])
+
+
 def test_pii_query(spark):
     texts = [*AWKWARD, "a@b.c", "x +1 (017) 555-7713 y 😀 4111 1111 1111 1111"]
     for r in pii.scan(docs(spark, texts)).collect():
