@@ -149,6 +149,32 @@ def test_licenses_against_brute_force(spark):
     assert got == want and len(want) >= 6
 
 
+def stewards_texts():
+    """(name, text) with copyright line, line breaks and blank lines as usual."""
+    gnu = "This {w} is free software{s} you can redistribute it and/or modify\nit under the terms of the GNU {n} as published by\nthe Free Software Foundation{t} either version {v} of the License, or\n(at your option) any later version.\n\nThis {w} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {n} for more details.\n"
+    for name, w, n, v, old in [("GPL-2.0", "program", "General Public License", "2", True), ("GPL-3.0", "program", "General Public License", "3", False), ("LGPL-2.1", "library", "Lesser General Public License", "2.1", True), ("LGPL-3.0", "program", "Lesser General Public License", "3", False), ("AGPL-3.0", "program", "Affero General Public License", "3", False)]:
+        yield name, gnu.format(w=w, n=n, v=v, s=";" if old else ":", t=";" if old else ",")
+    redistribution = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    neither = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+    disclaimer = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE\nFOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL\nDAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR\nSERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER\nCAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,\nOR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE\nOF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n'
+    yield "BSD-2-Clause", "Copyright (c) 2020, Jane Doe\n\n" + redistribution + disclaimer
+    yield "BSD-3-Clause", "Copyright (c) 2020, Jane Doe\n\n" + redistribution + neither + disclaimer
+    as_is = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n'
+    yield "MIT", "Copyright (c) 2020 Jane Doe\n\n" + next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100) + "\n\n" + as_is
+    yield "ISC", 'Copyright (c) 2020 Jane Doe\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,\nINDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM\nLOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR\nOTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR\nPERFORMANCE OF THIS SOFTWARE.\n'
+    yield "Zlib", "Copyright (c) 2020 Jane Doe\n\nThis software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software. If you use this software\n   in a product, an acknowledgment in the product documentation would be\n   appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be\n   misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.\n"
+
+
+def test_stewards_texts_get_their_names(spark):
+    want = list(stewards_texts())
+    got: dict = {}
+    for r in licenses.license_scan(docs(spark, [t for _, t in want] + [t.replace("\n", " ") for _, t in want])).collect():
+        got.setdefault(r.doc_id % len(want), []).append(r)
+    for i, (name, _) in enumerate(want):
+        best = max(got[i], key=lambda r: r.dice)
+        assert best.license == name and best.dice > 0.9, (name, got[i])
+
+
 def test_size_bounds_lose_nothing():
     for m, n in itertools.product(range(1, 60), range(1, 150)):
         low, high = licenses.size_bounds(m)
