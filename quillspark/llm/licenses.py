@@ -6,6 +6,10 @@ of m bigrams can reach the threshold t with a segment of n bigrams only if
 n between m * t / (2 - t) and m * (2 - t) / t; templates outside are not compared. Everything is built-in
 functions; the templates are a fixed list, so they ride in the plan as literals.
 
+Notices inside a longer segment are met by windows of a template's size over the words of the whole text,
+laid where one of the template's anchors (see anchors) has its place. Of windows that overlap the one
+furthest above the threshold counts, by bigrams, so that a part of a text doesn't hide the whole; a license that a segment has too keeps the segments' figures.
+
 Defined results: null and empty texts, and texts without two words in a segment, give no licenses; of templates with equal
 Dice on a segment the first by name is its license; a text has each license once, with its
 best Dice over segments; repeated rows give repeated results; other columns are not looked at.
@@ -13,7 +17,9 @@ best Dice over segments; repeated rows give repeated results; other columns are
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +67,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("LGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
     ("AGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.'),
     ("AGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("GPL-2.0", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("LGPL-2.1", 'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.'),
 ]
 # End of fixed values.
 
@@ -109,12 +117,59 @@ def _best(bigrams: Column, threshold: float) -> Column:
     return F.least(*scores)
 
 
+def _commonness() -> dict[str, int]:
+    """In how many templates each bigram is."""
+    return Counter(b for _, t in TEMPLATES for b in template_bigrams(t))
+
+
+def anchors(threshold: float = THRESHOLD) -> list[tuple[str, int, int, int]]:
+    """(bigram, template, places before it, places of the template): bigrams of which a window of the template's size that reaches the threshold has one at least.
+
+    Of m bigrams such a window misses at most m * (1 - threshold); one more are taken, the rarest among
+    templates first, then the longest, each at all of its places.
+    """
+    out, common = [], _commonness()
+    for k, (_, text) in enumerate(TEMPLATES):
+        words = re.sub(r"[\W_]+", " ", text.lower()).split()
+        pairs = [f"{a} {b}" for a, b in itertools.pairwise(words)]
+        own = sorted(set(pairs), key=lambda b: (common[b], -len(b), b))
+        own = set(own[: int(len(own) * (1 - threshold) + 1e-9) + 1])
+        out += [(b, k, i, len(pairs)) for i, b in enumerate(pairs) if b in own]
+    return out
+
+
+def window_licenses(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(row, id, license, dice) by windows of a template's size over the whole text: of windows that overlap only the best counts."""
+    spark = df.sparkSession
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD), lambda w: w != "")
+    last = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), last), F.slice("words", F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    texts = numbered.select("row", "id", pairs.alias("pairs"))
+    known = anchors(threshold)
+    found = F.filter(F.transform("pairs", lambda b, i: F.struct(b.alias("bigram"), i.alias("i"))), lambda x: x["bigram"].isin(sorted({b for b, *_ in known})))
+    index = F.broadcast(spark.createDataFrame(known, "bigram string, k int, before int, m int"))
+    grams = F.broadcast(spark.createDataFrame([(k, name, template_bigrams(t)) for k, (name, t) in enumerate(TEMPLATES)], "k int, name string, own array<string>"))
+    # texts stay out of the exploded rows: a hit's place is looked up again in the one array of its row
+    hits = texts.select("row", "id", "pairs", F.explode(found).alias("x")).join(index, F.col("x.bigram") == F.col("bigram"))
+    at = hits.select("row", "id", "k", F.slice("pairs", F.greatest(F.col("x.i") - F.col("before"), F.lit(0)) + 1, F.col("m")).alias("w"), F.greatest(F.col("x.i") - F.col("before"), F.lit(0)).alias("start"), "m")
+    scored = at.join(grams, "k").select("row", "id", "name", "start", "m", (F.col("start") + F.col("m")).alias("end"), (F.size(F.array_intersect("w", "own")) * F.lit(2.0) / (F.size(F.array_distinct("w")) + F.size("own"))).alias("dice")).where(F.col("dice") >= threshold)
+    listed = scored.groupBy("row", "id").agg(F.array_sort(F.collect_set(F.struct((F.col("m") * (threshold - F.col("dice"))).alias("minus"), "name", "start", "end", "dice"))).alias("all"))
+    none = F.array().cast("array<struct<minus: double, name: string, start: int, end: int, dice: double>>")
+    best = F.aggregate("all", none, lambda kept, x: F.when(F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), kept).otherwise(F.concat(kept, F.array(x))))
+    one = listed.select("row", "id", F.explode(best).alias("best"))
+    return one.groupBy("row", "id", F.col("best.name").alias("license")).agg(F.max("best.dice").alias("dice"))
+
+
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, dice, segments) for each license of each row: its best Dice and the number of segments that have it."""
+    """(doc_id, license, dice, segments) for each license of each row: its best Dice and the number of segments that have it; 0 segments if only a window has it."""
     found = license_segments(df, id_col, text_col).select("row", "id", _best(F.col("bigrams"), threshold).alias("best"))
     found = found.where(F.col("best.minus") <= -threshold)
-    per = found.groupBy("row", "id", F.col("best.name").alias("license")).agg(F.max(-F.col("best.minus")).alias("dice"), F.count(F.lit(1)).alias("segments"))
-    return per.select(F.col("id").alias("doc_id"), "license", F.round("dice", 6).alias("dice"), "segments")
+    per = found.select("row", "id", F.col("best.name").alias("license"), (-F.col("best.minus")).alias("dice"), F.lit(1).alias("segments"))
+    both = per.unionByName(window_licenses(df, id_col, text_col, threshold).withColumn("segments", F.lit(0)))
+    whole = F.sum("segments")
+    every = both.groupBy("row", "id", "license").agg(F.coalesce(F.max(F.when(F.col("segments") > 0, F.col("dice"))), F.max("dice")).alias("dice"), whole.alias("segments"))
+    return every.select(F.col("id").alias("doc_id"), "license", F.round("dice", 6).alias("dice"), "segments")
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -175,6 +175,25 @@ def test_stewards_texts_get_their_names(spark):
         assert best.license == name and best.dice > 0.9, (name, got[i])
 
 
+def test_notices_inside_other_text(spark):
+    header = next(t for n, t in stewards_texts() if n == "GPL-2.0").replace("\n\n", "\n")
+    mit = next(t for n, t in stewards_texts() if n == "MIT").replace("\n", " ")
+    changed = "Permission to use copy modify and or distribute this program for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    cases = [
+        ("The code in this repository is released under the MIT License.", {"MIT"}),
+        (header + "int main() { return 0; }\n" * 60, {"GPL-2.0"}),
+        ("x y z " * 90 + header + "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>." + " code" * 200, {"GPL-2.0"}),
+        ("x y z " * 90 + next(t for n, t in stewards_texts() if n == "BSD-3-Clause") + " code" * 200, {"BSD-3-Clause"}),
+        ("word " * 300 + mit + " other" * 300, {"MIT"}),
+        ("a b c " * 90 + changed + " d e f" * 90, {"ISC"}),
+        ("we use it, released under the MIT License, and that, licensed under CC BY 4.0, both", {"MIT", "CC-BY-4.0"}),
+        ("the license of the program and its terms of the work " * 20, set()),
+    ]
+    rows = licenses.license_scan(docs(spark, [t for t, _ in cases])).collect()
+    for i, (_, want) in enumerate(cases):
+        assert {r.license for r in rows if r.doc_id == i} == want, (i, rows)
+
+
 def test_size_bounds_lose_nothing():
     for m, n in itertools.product(range(1, 60), range(1, 150)):
         low, high = licenses.size_bounds(m)
