@@ -2,23 +2,25 @@
 
 The lexicon lies in a trie. A word's Levenshtein automaton, determinised lazily by characteristic
 vectors, walks the trie with it and dies early, so a word costs a few steps. Terms come from a
-short fixed list and from labelled rows: words, and word beginnings that come several times, by how
-clearly they mark toxic texts. Each hit's context window says whether it is quoted or reported, aimed
-at somebody, or plain; a logistic regression on these counts gives the score.
+short fixed list and from labelled rows, each with the evidence that a hit of it is; a word within the
+edits that a term's length allows counts as the term, discounted for each edit, unless clean rows hold it
+as a word of its own. Each hit's context window says whether it is quoted or reported, aimed at somebody, or
+plain. A text's features are the plain evidence of its worst passage, hits by words, whether one is
+aimed, and the quoted evidence; a logistic regression gives the score.
 
 Learning looks at a bounded sample: at most SAMPLE labelled rows (first by hash of the id) and SAMPLE_BYTES
 of text, outside the held-out fold. Scoring looks at the text alone.
 
 Defined results: null and empty texts have no hits and the score of such; labels of one id disagreeing count as toxic;
-labels without a text or a value are left out; without labels fixed weights hold; repeated rows give
-repeated results; other columns are not looked at.
+labels without a text or a value are left out; of texts under one id the first by hash is learnt from; without labels the weights of PRIOR hold; repeated rows give
+repeated results; a text of any length is walked once, only its words' places being held; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,14 +31,26 @@ from quillspark.llm.shared import crc_mod, filter_rows, kept, map_rows, read, st
 
 FOLDS = 5
 #: Labelled rows that are learnt from at most.
-SAMPLE = 4000
+SAMPLE = 6000
 #: Bytes of text that these rows have at most: of a larger sample the first by hash of the text.
 SAMPLE_BYTES = 96 << 20
 #: Tokens before and after a hit that are its context.
 WINDOW = 6
-#: A stem counts where a text has at least so many words that begin with it.
-STEM_HITS = 3
-STEM_LENGTHS = range(4, 9)
+#: Words of a passage: of a text the passage with most evidence counts.
+PASSAGE = 120
+#: Words that a text is taken to have at least where hits are counted by words.
+SHORT = 25
+#: What is left of a hit's evidence for each edit between the word and the term.
+DISCOUNT = 0.7
+#: Toxic rows that a learnt term has at least, its least evidence, and the most terms that are learnt.
+SUPPORT, LEAST, TERMS = 3, 2.5, 400
+#: Evidence of a listed term without labelled rows; the toxic rows that it counts as having besides those seen; and the most evidence of a text.
+UNSEEN, UNSEEN_ROWS, MOST = 6.0, 16, 16.0
+FEATURES = ["bias", "peak", "density", "aimed", "quoted"]
+#: Weights before anything is learnt, to which the fit is drawn: of quoted evidence a tenth counts.
+PRIOR = (-4.0, 1.0, 1.0, 0.5, 0.1)
+#: How strongly: labelled rows that say nothing of a context leave its weight where it was.
+RIDGE = 20.0
 
 # Insults, words of reporting, words that aim at somebody.
 SEED_TERMS = "asshole bastard bitch clown coward cretin degenerate disgusting dumb dumbass filth fool garbage idiot idiotic imbecile jackass jerk liar loser lowlife moron moronic pathetic pig psycho rat scum scumbag stupid trash ugly vermin worthless".split()
@@ -175,12 +189,11 @@ class Lexicon:
 
 @dataclass
 class Model:
-    terms: list[str] = field(default_factory=lambda: list(SEED_TERMS))
-    stems: list[str] = field(default_factory=list)
-    weights: list[float] = field(default_factory=lambda: [-4.0, 6.0, 0.0, 1.0, 3.0, 0.0, 0.0])
+    """Terms with the evidence that a hit of each is, words of their own that look like misspelled terms, and the weights of FEATURES."""
 
-
-FEATURES = ["bias", "plain", "quoted", "aimed", "misspelled", "stem", "stems"]
+    evidence: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_TERMS, UNSEEN))
+    ordinary: list[str] = field(default_factory=list)
+    weights: list[float] = field(default_factory=lambda: list(PRIOR))
 
 
 class Scorer:
@@ -189,55 +202,52 @@ class Scorer:
     KEPT = 400_000
 
     def __init__(self, model: Model) -> None:
-        self.model, self.lexicon = model, Lexicon(model.terms)
-        self.stems = set(model.stems)
-        self.lengths = sorted({len(s) for s in model.stems})
-        self._kinds: dict[str, tuple | None] = {}
-        self._special: set[str] = set()
-
-    def _kind(self, word: str) -> tuple | None:
-        for n in self.lengths:
-            if word[:n] in self.stems:
-                return "stem", word[:n]
-        if len(word) > 3 and (found := self.lexicon.find(word)):
-            return ("term" if found[1] == 0 else "near"), found[0]
-        return None
+        self.model, self.lexicon = model, Lexicon(list(model.evidence))
+        self.ordinary = set(model.ordinary)
+        self._known: dict[str, float] = {}
+        self._hits: dict[str, float] = {}
+
+    def evidence(self, word: str) -> float:
+        """What a hit of a word counts: its nearest term's evidence, less by DISCOUNT for each edit; 0 if it is no hit."""
+        if word in self.ordinary or not (found := self.lexicon.find(word)):
+            return 0.0
+        return self.model.evidence[found[0]] * DISCOUNT ** found[1]
 
     def features(self, text: str | None) -> list[float]:
         lower = (text or "").lower()
-        words = WORD.findall(lower)
-        distinct = set(words)
-        if len(self._kinds) > self.KEPT:
-            self._kinds.clear()
-            self._special.clear()
-        for w in distinct.difference(self._kinds):
-            kind = self._kinds[w] = self._kind(w)
-            if kind:
-                self._special.add(w)
-        if not (special := distinct & self._special):
-            return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
-        plain = quoted = aimed = near = 0
-        stems: Counter = Counter()
-        spans = [m.span() for m in WORD.finditer(lower)]
+        distinct = set(WORD.findall(lower))
+        if len(self._known) > self.KEPT:
+            self._known.clear()
+            self._hits.clear()
+        for w in distinct.difference(self._known):
+            self._known[w] = own = self.evidence(w)
+            if own > 0:
+                self._hits[w] = own
+        if distinct.isdisjoint(self._hits):
+            return [1.0, 0.0, 0.0, 0.0, 0.0]
+        quoted = sum_ = peak = 0.0
+        aimed, n = False, 0
+        words, spans = [], []
+        for m in WORD.finditer(lower):
+            words.append(m[0])
+            spans.append(m.span())
+        near: deque = deque()  # (place, evidence) of plain hits of the last PASSAGE words
         for i, w in enumerate(words):
-            if w not in special:
-                continue
-            kind, name = self._kinds[w]
-            if kind == "stem":
-                stems[name] += 1
+            if not (own := self._hits.get(w)):
                 continue
             low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-            before, after = lower[spans[low][0] : spans[i][0]], lower[spans[i][1] : spans[high - 1][1]]
-            context = words[low:i] + words[i + 1 : high]
+            before, after = lower[spans[low][0] : spans[i][0]], lower[spans[i][1] : spans[high - 1][1] + 1]
             if self._is_quoted(before, after) or any(c in REPORTING for c in words[max(0, i - 3) : i]):
-                quoted += 1
-            elif kind == "near":
-                near += 1
-            else:
-                plain += 1
-                aimed += any(c in TARGETS for c in context)
-        most = max(stems.values(), default=0)
-        return [1.0, float(plain > 0), math.log1p(quoted), float(aimed > 0), float(near > 0), float(most >= STEM_HITS), math.log1p(min(most, 8))]
+                quoted += own
+                continue
+            aimed |= any(c in TARGETS for c in words[low:i]) or any(c in TARGETS for c in words[i + 1 : high])
+            near.append((i, own))
+            sum_ += own
+            n += 1
+            while near[0][0] <= i - PASSAGE:
+                sum_ -= near.popleft()[1]
+            peak = max(peak, sum_)
+        return [1.0, min(peak, MOST), math.log1p(100.0 * n / max(len(words), SHORT)), float(aimed), min(quoted, MOST)]
 
     @staticmethod
     def _is_quoted(before: str, after: str) -> bool:
@@ -251,67 +261,42 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn_lexicon(rows: list[tuple[int, str]], most: int = 80) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic texts: the most telling first, each by what those before don't cover."""
-    positives = sum(y for y, _ in rows)
-    support = max(4, positives // 50)
-    holders: dict[tuple[str, str], list[int]] = {}
-    counts: Counter = Counter()
-    marks: list[set] = []
-    for y, text in rows:
-        words = WORD.findall(text.lower())
-        stems: Counter = Counter()
-        for w, n in Counter(words).items():
-            for k in STEM_LENGTHS:
-                if len(w) >= k:
-                    stems[w[:k]] += n
-        own = {("w", w) for w in set(words) if len(w) > 3} | {("s", s) for s, n in stems.items() if n >= STEM_HITS}
-        if y:
-            marks.append(own)
-            counts.update(own)
-    candidates = {m for m, n in counts.items() if n >= support}
-    negatives: Counter = Counter()
+def learn_lexicon(rows: list[tuple[int, str]]) -> tuple[dict[str, float], list[str]]:
+    """(evidence of terms, ordinary words) by how many toxic and clean rows hold a word.
+
+    A term's evidence is the logarithm of its rate in toxic rows by that in clean rows. Words of enough toxic rows with
+    LEAST evidence or more are terms, the most telling first; listed terms count as if UNSEEN_ROWS more toxic rows held
+    them. A word that is no term, is near one and that clean rows hold is a word of its own, no misspelling.
+    """
+    toxic, clean = Counter(), Counter()
+    n_toxic = sum(y for y, _ in rows)
+    n_clean = len(rows) - n_toxic
     for y, text in rows:
-        if y:
-            continue
-        words = Counter(WORD.findall(text.lower()))
-        negatives.update(m for m in {("w", w) for w in words} & candidates)
-        stems = Counter()
-        for w, n in words.items():
-            for k in STEM_LENGTHS:
-                if len(w) >= k and ("s", w[:k]) in candidates:
-                    stems[w[:k]] += n
-        negatives.update(("s", s) for s, n in stems.items() if n >= STEM_HITS)
-    for i, own in enumerate(marks):
-        for m in own & candidates:
-            holders.setdefault(m, []).append(i)
-    telling = {m: set(h) for m, h in holders.items() if len(h) / (len(h) + negatives[m] + 1.0) >= 0.7}
-    terms, stems_, left = [], [], set(range(len(marks)))
-    while telling and len(terms) + len(stems_) < most:
-        m, cover = max(telling.items(), key=lambda x: (len(x[1] & left), len(x[1]), -negatives[x[0]], len(x[0][1]), x[0]))
-        if len(cover & left) < max(2, support // 2):
-            break
-        (terms if m[0] == "w" else stems_).append(m[1])
-        left -= cover
-        del telling[m]
-    # other words as telling as these, which are covered already; a word that a stem begins counts by its stem
-    terms += [m[1] for m in sorted(telling, key=lambda m: (-len(telling[m]), m)) if m[0] == "w" and len(telling[m]) >= max(support, positives // 20)][:most]
-    stems_ = [s for s in stems_ if not any(t.startswith(s) or s.startswith(t) for t in SEED_TERMS)]
-    return [t for t in terms if not any(t.startswith(s) for s in stems_)], stems_
-
-
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton's method, the bias free."""
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
-    keep[0] = 1e-6
+        (toxic if y else clean).update(set(WORD.findall(text.lower())))
+
+    def telling(word: str, more: int = 0) -> float:
+        return math.log((toxic[word] + more + 0.5) / (n_toxic + more + 1)) - math.log((clean[word] + 0.5) / (n_clean + 1))
+
+    own = {w: telling(w) for w, n in toxic.items() if n >= max(SUPPORT, n_toxic // 60)}
+    chosen = sorted((w for w, e in own.items() if e >= LEAST), key=lambda w: (-toxic[w] * own[w], w))[:TERMS]
+    evidence = {w: own[w] for w in chosen} | {w: max(0.0, telling(w, UNSEEN_ROWS)) for w in SEED_TERMS}
+    lexicon = Lexicon(list(evidence))
+    ordinary = sorted(w for w, n in clean.items() if n >= 2 and w not in evidence and telling(w) < LEAST and lexicon.find(w))
+    return evidence, ordinary
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> np.ndarray:
+    """Logistic regression by Newton's method, drawn to PRIOR; evidence and aim never count against toxicity, and quoted evidence no more than plain."""
+    prior = np.array(PRIOR)
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + keep * w
-        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep)
-        move = np.linalg.solve(hessian, gradient)
-        w -= np.clip(move, -4, 4)
-        if np.abs(move).max() < 1e-8:
+        gradient = x.T @ (p - y) + ridge * (w - prior)
+        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        before, w = w, w - np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+        w[1:] = np.maximum(w[1:], 0.0)
+        w[4] = min(w[4], w[1])
+        if np.abs(w - before).max() < 1e-8:
             break
     return w
 
@@ -322,9 +307,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     own = own.where(crc_mod("id", FOLDS) != 0).groupBy("id").agg(F.max("y").alias("y"))
     chosen = own.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)  # bounded, so it is broadcast
     got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null")
-    got = stage_table(got.select("y", "text", F.xxhash64("text").alias("h")).distinct(), "toxicity-sample")
+    one = got.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("x")).select("x.*").distinct()  # a text for each id, however many rows share it
+    got = stage_table(one, "toxicity-sample")
     until, size = None, 0
-    for r in got.select("h", F.octet_length("text").alias("n")).orderBy("h").collect():  # two numbers for each of at most `sample` ids' texts
+    for r in got.select("h", F.octet_length("text").alias("n")).orderBy("h").collect():  # two numbers for each of at most `sample` texts
         size += r["n"]
         if size > SAMPLE_BYTES:
             break
@@ -333,9 +319,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = Model()
     if not 0 < sum(y for y, _ in rows) < len(rows):
         return model
-    terms, stems = learn_lexicon(rows)
-    model.terms = sorted(set(SEED_TERMS) | set(terms))
-    model.stems = sorted(stems)
+    model.evidence, model.ordinary = learn_lexicon(rows)
     scorer = Scorer(model)
     x = np.array([scorer.features(t) for _, t in rows])
     model.weights = fit(x, np.array([y for y, _ in rows], float)).tolist()

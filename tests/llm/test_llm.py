@@ -269,10 +269,53 @@ def test_automaton_is_edit_distance():
         assert lexicon.find(w) == ((near[0][1], near[0][0]) if near else None), w
 
 
+def score_by_hand(model, text):
+    """The features once more, by plain edit distance to every term and a window at every word, and the score."""
+    lower = (text or "").lower()
+    spans = [m.span() for m in re.finditer(r"[^\W_]+", lower)]
+    words = [lower[a:b] for a, b in spans]
+    hits, aimed, quoted = [], False, 0.0
+    for i, w in enumerate(words):
+        near = [(d, t) for t in model.evidence if abs(len(t) - len(w)) <= toxicity.allowed_edits(len(t)) and (d := edits(w, t)) <= toxicity.allowed_edits(len(t))]
+        own = 0.0 if w in model.ordinary or not near else model.evidence[min(near)[1]] * toxicity.DISCOUNT ** min(near)[0]
+        if own <= 0:
+            continue
+        low, high = max(0, i - toxicity.WINDOW), min(len(words), i + toxicity.WINDOW + 1)
+        marks = lambda part: [c for k, c in enumerate(part) if c in toxicity.QUOTES and not (c in "'’" and 0 < k < len(part) - 1 and part[k - 1].isalnum() and part[k + 1].isalnum())]
+        inside = len(marks(lower[spans[low][0] : spans[i][0]])) % 2 == 1 and marks(lower[spans[i][1] : spans[high - 1][1] + 1])
+        if inside or set(words[max(0, i - 3) : i]) & toxicity.REPORTING:
+            quoted += own
+        else:
+            hits.append((i, own))
+            aimed = aimed or bool(set(words[low:i] + words[i + 1 : high]) & toxicity.TARGETS)
+    peak = max((sum(e for j, e in hits if i - toxicity.PASSAGE < j <= i) for i, _ in hits), default=0.0)
+    x = [1.0, min(peak, toxicity.MOST), math.log1p(100 * len(hits) / max(len(words), toxicity.SHORT)), float(aimed), min(quoted, toxicity.MOST)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x if hits or quoted else [1.0, 0, 0, 0, 0], strict=True))))
+
+
+def test_score_against_brute_force(spark):
+    r = random.Random(6)
+    model = toxicity.Model(ordinary=["moren", "idiom"])
+    parts = [*toxicity.SEED_TERMS, "idoit", "moren", "idiom", "worthles", "basterd", "degenrate", "said", "you", "them", '"', "«", "»", "it's", "a", "plain", "house", "rats", *(f"w{k}" for k in range(30))]
+    texts = [*AWKWARD, *(" ".join(r.choice(parts) for _ in range(r.choice((1, 4, 12, 60, 400)))) for _ in range(150))]
+    got = {x.doc_id: x for x in toxicity.score_documents(docs(spark, texts), model).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert abs(got[i].score - score_by_hand(model, t)) < 1e-9, t
+        assert got[i].predicted == (got[i].score >= 0.5)
+
+
+ABUSE = ["You are an idiot.", "You are an idi0t.", "you idiiot", "he is a moronn and a basterd", "you are stupd and worthles", "you rat", "what a pig you are"]
+QUOTED = ['the word "idiot" comes from Greek', "she said idiot is a word", '"You are an idi0t", he wrote', "", "a neutral sentence", "the idiom is old"]
+
+
 def test_quotation_is_not_abuse():
     s = toxicity.Scorer(toxicity.Model())
-    assert s.score("you are an idiot") >= 0.5 and s.score("you are an idoit") < s.score("you are an idiot")
-    assert s.score('the word "idiot" comes from Greek') < 0.5
+    assert s.score("you are an idoit") < s.score("you are an idiot")
+    for t in ABUSE:
+        assert s.score(t) >= 0.5, t
+    for t in QUOTED[:2]:
+        assert s.score(t) < 0.5, t
     assert s.score("") < 0.5 and s.score(None) == s.score("")
 
 
@@ -287,7 +330,18 @@ def test_toxicity_learns_and_holds_out(spark, sf_dir):
     assert held.predicted[held.toxic == 0].mean() < 0.05
     # labels of the held-out fold play no part
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert toxicity.train(documents, turned) == toxicity.train(documents, labels)
+    model = toxicity.train(documents, labels)
+    assert toxicity.train(documents, turned) == model
+    s = toxicity.Scorer(model)
+    assert all(s.score(t) >= 0.5 for t in ABUSE[:5]) and all(s.score(t) < 0.5 for t in QUOTED[:2])
+
+
+def test_words_of_their_own_are_no_misspellings():
+    rows = [(1, f"you moron {k} scum") for k in range(20)] + [(0, f"the oron is {k} small") for k in range(60)]
+    evidence, ordinary = toxicity.learn_lexicon(rows)
+    assert evidence["moron"] > toxicity.LEAST and "oron" in ordinary and "small" not in evidence
+    s = toxicity.Scorer(toxicity.Model(evidence, ordinary))
+    assert s.evidence("oron") == 0 and 0 < s.evidence("moronn") < s.evidence("moron")
 
 
 def test_toxicity_awkward(spark):
@@ -295,6 +349,8 @@ def test_toxicity_awkward(spark):
     model = toxicity.train(docs(spark, AWKWARD), empty)
     got = toxicity.score_documents(docs(spark, AWKWARD), model).collect()
     assert len(got) == len(AWKWARD) and all(r.predicted == 0 for r in got)
+    hot = spark.createDataFrame([(i, 0, i % 2) for i in range(3)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs(spark, [f"text {k}" for k in range(50)], [k % 2 for k in range(50)]), hot)
     odd = spark.createDataFrame([(None, 1, 1), (0, 0, 1), (4, 0, None), (4, 0, 0), (4, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     toxicity.train(docs(spark, AWKWARD), odd)
 
