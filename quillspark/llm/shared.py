@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """df with one more column, and its name: a number (file, at) of each row that stays the same however often the table is read.
+
+    The number is the row's place in its Parquet file, the file by a 64-bit hash of its path; a df that is no table of files is written first.
+    """
+    row = "row"
+    while row in df.columns:
+        row += "_"
+
+    def placed(table: DataFrame) -> DataFrame:
+        own = table.metadataColumn("_metadata")
+        out = table.withColumn(row, F.struct(F.xxhash64(own["file_path"]).alias("file"), own["row_index"].alias("at")))
+        return out if out.columns else out  # resolves the names, or raises
+
+    try:
+        return placed(df), row
+    except AnalysisException:
+        return placed(stage_table(df, name)), row
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable], *, finish: bool = False) -> DataFrame:
     """Run Python over Arrow batches.
 

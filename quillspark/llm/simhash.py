@@ -9,20 +9,22 @@ Within a bucket no pairs are emitted: its members are linked to the smallest mem
 there. A pair counts only in the first bucket that it shares, so repeated meetings cost nothing. A
 bucket of more than BUCKET members is not gathered: its members stream on to a finer index, in which
 the other segment is cut in two and one bit of a half left out as well, and then once more; there a
-bucket has at most 2^11 distinct fingerprints, so memory is bounded and no link is lost.
+bucket has at most 2^11 distinct fingerprints, so memory is bounded and no link is lost. Keys that a sample shows
+to hold a thousandth of all fingerprints go to the finer index at once, so no task sees such a bucket whole.
 
-Defined results: null and empty texts have fingerprint zero and link like others; rows with one id
-or equal texts have one component; an empty table gives no rows; other columns are not looked at.
+Defined results: null and empty texts have fingerprint zero and link like others, as rows with a null id do; rows with equal texts
+have one component; a component without any id has none; a text of any length is hashed in blocks; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,6 +37,9 @@ MAX_BITS = 3
 SHINGLE = 3
 #: Members that one bucket may gather in memory; larger buckets are cut finer.
 BUCKET = 2048
+#: A key with over a SHARE-th of all rows goes a way of its own; SAMPLED fingerprints tell which.
+SHARE = 1000
+SAMPLED = 1 << 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -56,15 +61,12 @@ def _majority(shingles: list[bytes], block: int = 1 << 16) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+    """(id_col, fp): fp as a signed 64-bit number."""
 
     def make():
-        def step(ids, texts):
-            return ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        return lambda ids, texts: (ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-        return step
-
-    return map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), text_col), "doc_id long, fp long", make)
+    return map_rows(df.select(id_col, text_col), T.StructType([df.schema[id_col], T.StructField("fp", T.LongType())]), make)
 
 
 def _part(fp, seg):
@@ -188,48 +190,88 @@ def _bucket_links(keys: DataFrame, level: int, bucket: int = BUCKET) -> DataFram
     return keys.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _LINK_TYPE)
 
 
+def _hot_keys(nodes: DataFrame, n: int, bucket: int) -> DataFrame:
+    """(key) of level 0 that seem to hold over `bucket` fingerprints and a SHARE-th of all, by a sample: at most 64 * SHARE keys or so. It only says which way they go; every way finds the same links."""
+    step = max(1, n // SAMPLED)
+    some = _segment_keys(nodes.where(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0))
+    return some.groupBy("key").count().where(F.col("count") * step > max(bucket, n // SHARE)).select("key")
+
+
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that join exactly the nodes whose fingerprints reach each other by steps of at most MAX_BITS bits. nodes: (fp, node), distinct fingerprints."""
+    hot = stage_table(_hot_keys(nodes, nodes.count(), bucket), "simhash-hot")
     keys, found = _segment_keys(nodes), None
+    finer = []  # members of large buckets: those that were seen before never meet in one task
+    if not hot.isEmpty():
+        finer.append(keys.join(F.broadcast(hot), "key", "left_semi").select("key", "key2", "fp", "node", "seg", "bit"))
+        keys = keys.join(F.broadcast(hot), "key", "left_anti")
     for level in range(3):
         got = stage_table(_bucket_links(keys, level, bucket), f"simhash-links{level}")
         edges = got.where("kind = 0").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
+        if level == 2:
+            break
         large = got.where("kind = 1")
-        if level == 2 or large.isEmpty():
-            return found.distinct()
-        keys = _finer_keys(large.select("key", "key2", "fp", F.col("a").alias("node"), "seg", "bit"), level + 1)
-    raise AssertionError
+        if not large.isEmpty():
+            finer.append(large.select("key", "key2", "fp", F.col("a").alias("node"), "seg", "bit"))
+        if not finer:
+            break
+        keys, finer = _finer_keys(reduce(DataFrame.unionByName, finer), level + 1), []
+    return found.distinct()
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of table, which has each key once and in n its number of rows, `total` in all.
+
+    Keys of over a SHARE-th of all rows are SHARE at most: they are broadcast, so their rows stay where they are. The rest is joined by shuffle.
+    """
+    hot = F.col("n") > total // SHARE
+    frequent = F.broadcast(table.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(table.where(~hot).drop("n"), key)
+    return rows.join(frequent, key).unionByName(rest)
+
+
+def _starred(edges: DataFrame, total: int, large: bool) -> DataFrame:
+    """Edges (a, b), a > b, from each node's neighbours to the smallest of these and itself: the larger neighbours (large), or the smaller ones and the node."""
+    rows = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select("a", "b")
+    least = rows.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    met = by_key(rows, least, "a", total * (1 + large))
+    if large:
+        return met.where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches.
 
-    Each round gives every node its smallest neighbour or itself and contracts the edges to these;
-    a component at least halves its nodes, so the rounds are logarithmic. Rounds are written tables.
+    Every round links each node's larger neighbours to the smallest neighbour, then its smaller ones and itself to their
+    smallest, and ends when nothing changes: stars around the smallest nodes. Edges never become more, and
+    paths halve from round to round, so a path of a thousand nodes takes some eleven. Rounds are written tables.
     """
-    steps: list[DataFrame] = []
+    edges = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
+    state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stage_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "component-step")
-        steps.append(step)
-        left = edges.join(step.select("a", F.col("m").alias("ma")), "a").join(step.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
-        edges = stage_table(left.where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), "component-edges")
-        if edges.isEmpty():
-            break
-    out = steps[0].select(F.col("a").alias("node"), F.col("m").alias("component"))
-    for step in steps[1:]:
-        out = out.join(step.select(F.col("a").alias("component"), "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
-    return out
+        total = state[0]
+        edges = stage_table(_starred(_starred(edges, total, True), total, False), "component-edges")
+        before, state = state, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; component_id is the smallest id reachable."""
-    fps = stage_table(fingerprints(df, id_col, text_col), "simhash-fps")
-    nodes = stage_table(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    linked = components(links(nodes.where("node is not null"), bucket))
-    classes = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = stage_table(fingerprints(df.select(F.col(id_col).cast("long").alias("doc_id"), text_col), "doc_id", text_col), "simhash-fps")
+    classes = stage_table(classes_of(fps, F.min("doc_id"), bucket), "simhash-classes")
+    return by_key(fps, classes, "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen").alias("component_id"))
+
+
+def classes_of(fps: DataFrame, choose: Column, bucket: int = BUCKET) -> DataFrame:
+    """(fp, n, chosen) for each fingerprint of fps, a written table: its number of rows, and the least of choose, an aggregate of rows, in its component."""
+    nodes = stage_table(fps.groupBy("fp").agg(choose.alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    linked = components(links(nodes.select("fp", F.col("fp").alias("node")), bucket))
+    labelled = stage_table(nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.col("n").alias("rows"), "least", F.coalesce("component", "fp").alias("label")), "simhash-labels")
+    chosen = labelled.groupBy("label").agg(F.min("least").alias("chosen"), F.count(F.lit(1)).alias("n"))
+    return by_key(labelled, chosen, "label", labelled.count()).select("fp", F.col("rows").alias("n"), "chosen")
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

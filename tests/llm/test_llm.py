@@ -607,6 +607,35 @@ def test_links_against_brute_force(spark, bucket):
     assert [got.get(i, i) for i in range(len(values))] == [first[roots[v]] for v in values]
 
 
+def test_components_of_long_paths_and_hubs(spark, monkeypatch):
+    r = random.Random(4)
+    order = list(range(1000))
+    r.shuffle(order)
+    cases = {0: [(i, i + 1) for i in range(999)], 2000: list(itertools.pairwise(order)), 4000: [(999, i) for i in range(999)], 6000: [(i, (i - 1) // 2) for i in range(1, 500)]}
+    edges = [(k + a, k + b) for k, own in cases.items() for a, b in own] + [(9000, 9000), (9001, 9002), (9002, 9001)]
+    written = []
+    keep = simhash.stage_table
+    monkeypatch.setattr(simhash, "stage_table", lambda df, name: written.append(name) or keep(df, name))
+    got = {x.node: x.component for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {v: k for k, own in cases.items() for p in own for v in (k + p[0], k + p[1]) if v != k}
+    assert got == want | {9002: 9001}
+    assert len(written) - 1 <= 15  # a round each
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("share", [3, 10**9])
+def test_hot_keys_change_nothing(spark, monkeypatch, share):
+    monkeypatch.setattr(simhash, "SHARE", share)
+    monkeypatch.setattr(simhash, "SAMPLED", 100)
+    texts = [""] * 40 + ["a b c d"] * 3 + [f"w{i} x y z" for i in range(30)]
+    got = simhash.simhash_components(docs(spark, texts)).collect()
+    fps = [fingerprint_by_hand(t) for t in texts]
+    roots = components_by_hand(fps)
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.component_id == min(j for j, g in enumerate(fps) if roots[g] == roots[fps[r.doc_id]])
+
+
 def fingerprint_by_hand(text):
     import xxhash
 
@@ -779,7 +808,35 @@ def test_pipeline(spark, sf_dir):
 def test_pipeline_awkward(spark, tmp_path):
     import corpus_pipeline
 
-    docs(spark, AWKWARD).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    item = " ".join(f"q{i}" for i in range(20))
+    near = " ".join(f"w{i}" for i in range(400))
+    texts = [*AWKWARD, near, near + " tail", near, f"before {item} after", f"before {item} after", "kept alone by its words here", "you idiot you moron, stupid trash", "mail a@b.org now", "z " * 60_000]
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, 4, 12, 5, None, None, 30, 30, 31, 32, None]
+    # all columns, with those whose names the operators use
+    docs(spark, texts, ids).withColumns({"row": F.lit("r"), "fp": F.lit(1), "id": F.lit(2), "n": F.lit(3), "none": F.lit(4)}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = [(i, t) for i, t in zip(ids, texts, strict=True) if t is None or "idiot" not in t]
+    by = dict(corpus_pipeline.STAGES)
+    rows = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+    after = by["toxicity"](spark, before, str(tmp_path))
+    assert after.columns == before.columns and rows(after) == sorted(left, key=repr)
+    after.write.parquet(f"{tmp_path}/1")
+    before = spark.read.parquet(f"{tmp_path}/1")
+    after = by["simhash"](spark, before, str(tmp_path))
+    roots = components_by_hand([fingerprint_by_hand(t) for _, t in left])
+    groups: dict = {}
+    for i, t in left:
+        groups.setdefault(roots[fingerprint_by_hand(t)], []).append((i is None, i or 0, t))
+    got = rows(after)
+    assert after.columns == before.columns and len(got) == len(groups)
+    for own in groups.values():
+        first = min(x[:2] for x in own)
+        assert sum((i is None, i or 0, t) in own and (i is None, i or 0) == first for i, t in got) == 1
+    after = by["decontaminate"](spark, before, str(tmp_path))
+    assert after.columns == before.columns and rows(after) == sorted(((i, t) for i, t in left if item not in (t or "")), key=repr)
+    after = by["pii"](spark, before, str(tmp_path))
+    assert after.columns == before.columns and "mail [EMAIL] now" in {t for _, t in rows(after)} and after.count() == len(left)
+    assert by["bpe"](spark, before, str(tmp_path)).count() == len(left)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
