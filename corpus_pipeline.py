@@ -6,36 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, pii, simhash, toxicity
-from quillspark.llm.shared import new_path, read, stage_table
+from quillspark.llm.shared import new_path, numbered, read, stage_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5, by a model of the labelled ones among docs."""
+    """Documents whose toxicity score is under 0.5, by a model of the labelled ones among docs.
+
+    Decided row by row: a null or empty text has no hits and stays, repeated rows go or stay together, a long text counts by its worst passage.
+    """
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id. Rows with one doc_id are one document."""
-    classes = simhash.simhash_components(docs)
-    away = stage_table(classes.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(away, "doc_id", "left_anti").select(docs.columns)
+    """One row of each SimHash component: the one with the smallest id, of equal ids the first by its place in the files.
+
+    Decided row by row, whatever ids are shared or null: repeated rows leave one; null and empty texts are copies of each other; ids come before no id.
+    """
+    rows, row = numbered(docs)
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    fps = stage_table(simhash.fingerprints(rows.select(id_.alias("id"), "text"), "id"), "pipeline-fps")
+    keep = stage_table(simhash.classes_of(fps, F.min("id")).select(F.col("chosen")[row].alias(row)).distinct(), "pipeline-originals")
+    return rows.join(keep, row, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    away = stage_table(found.select("doc_id").distinct(), "pipeline-contaminated")
-    return docs.join(away, "doc_id", "left_anti").select(docs.columns)
+    """Rows whose text holds no benchmark item.
+
+    Decided row by row, whatever ids are shared or null; null and empty texts hold nothing and stay; a long text goes as a whole.
+    """
+    rows, row = numbered(docs)
+    found = decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col=row)
+    away = stage_table(found.select(F.col("doc_id").alias(row)).distinct(), "pipeline-contaminated")
+    return rows.join(away, row, "left_anti").select(docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    """Documents with personal data replaced by its kind; n_chars follows the text, null with it. No row goes; equal texts are changed alike."""
     return pii.redact_documents(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests by which the round trip can be checked."""
+    """Token ids of each row, and digests by which the round trip can be checked; a null text has none, like an empty one."""
     return bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), with_ids=True)
 
 
