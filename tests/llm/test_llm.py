@@ -460,6 +460,7 @@ def words_of(t):
 
 
 def contaminated_by_hand(texts, benchmark):
+    """Every alignment, without any mask."""
     classes: dict = {}
     for item_id, t in benchmark:
         if w := tuple(words_of(t)):
@@ -471,12 +472,8 @@ def contaminated_by_hand(texts, benchmark):
             best = None
             for shift in range(-len(item) + 1, len(w)):
                 n = len(item)
-                agree = [0 <= shift + q < len(w) and w[shift + q] == item[q] for q in range(n)]
-                masks = decontaminate.MASKS if n >= decontaminate.SHORTEST_SPAN else [tuple(range(n))]
-                starts = range(n) if n >= decontaminate.SHORTEST_SPAN else [0]
-                hit = any(j + m[-1] < n and all(agree[j + p] for p in m) for m in masks for j in starts)
-                s = sum(agree) / n
-                if hit and s >= decontaminate.THRESHOLD and (best is None or (s, -max(shift, 0)) > best):
+                s = sum(0 <= shift + q < len(w) and w[shift + q] == item[q] for q in range(n)) / n
+                if s >= decontaminate.THRESHOLD and (best is None or (s, -max(shift, 0)) > best):
                     best = (s, -max(shift, 0))
             if best:
                 out[d, min(ids)] = (len(ids), round(best[0], 6), -best[1])
@@ -488,20 +485,54 @@ def test_decontamination_against_brute_force(spark, broadcast_keys):
     r = random.Random(8)
     vocabulary = [f"w{i}" for i in range(60)]
     say = lambda n: [r.choice(vocabulary) for _ in range(n)]
-    items = [say(n) for n in (3, 5, 6, 8, 9, 20, 30, 40)]
-    benchmark = [(i, " ".join(x)) for i, x in enumerate(items)] + [(50, " ".join(items[5]).upper()), (51, None), (52, ""), (53, "--")]
+    items = [say(n) for n in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 20, 30, 40)]
+    benchmark = [(i, " ".join(x)) for i, x in enumerate(items)] + [(50, " ".join(items[11]).upper()), (51, None), (52, ""), (53, "--"), (54, "e " * 12), (55, "e f " * 6)]
     texts = list(AWKWARD)
     for x in items:
-        for changes in (0, 1, 3, 9):
+        for changes in (0, 1, 2, 3, 9):
             y = list(x)
-            for _ in range(changes):
-                y[r.randrange(len(y))] = "other"
+            for at in r.sample(range(len(y)), min(len(y), changes)):
+                y[at] = "other"
             texts.append(" ".join(say(r.randint(0, 12)) + y + say(r.randint(0, 9))))
-    texts += [" ".join(items[5] + say(3) + items[5]), " ".join(items[6][4:] + say(5))]
+    for x in items[3:9]:  # every way to change as much as may be
+        for away in itertools.combinations(range(len(x)), len(x) // 5):
+            texts.append(" ".join("other" if k in away else w for k, w in enumerate(x)))
+            texts.append("before it " + texts[-1] + " after it")
+    texts += [" ".join(items[11] + say(3) + items[11]), " ".join(items[12][4:] + say(5)), "e " * 300, "x " + "e " * 11 + "y e e e", "f " + "e f " * 90, "e " * 9]
     bench = spark.createDataFrame(benchmark, "item_id long, text string").withColumn("seed", F.lit(1))
     got = decontaminate.contaminated(docs(spark, texts), bench, broadcast_keys=broadcast_keys).collect()
     assert {(g.doc_id, g.item_id): (g.members, g.similarity, g.start) for g in got} == contaminated_by_hand(texts, benchmark)
-    assert len(got) > 10
+    assert len(got) > 200
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(docs(spark, texts), bench, threshold=0.7)
+
+
+def test_masks_lose_nothing_at_any_length():
+    """The fewest substitutions that keep every mask from meeting an item of n tokens, by dynamic programming over the last positions."""
+    span = decontaminate.LONGEST_SPAN - 1
+    states, lost = {(): 0}, []
+    for n in range(1, 400):
+        after: dict = {}
+        for state, cost in states.items():
+            for changed in (0, 1):
+                own = (*state, changed)
+                if all(any(own[len(own) - 1 - m[-1] + p] for p in m) for m in decontaminate.MASKS if len(own) > m[-1]):
+                    key = own[-span:]
+                    after[key] = min(cost + changed, after.get(key, n + 1))
+        states = after
+        if (n - min(states.values())) / n >= decontaminate.THRESHOLD:
+            lost.append(n)
+    assert lost == sorted(decontaminate.own_masks()) and max(lost) <= decontaminate.SHORT
+    for n, listed in decontaminate.own_masks().items():
+        for away in decontaminate.lost_sets(n):
+            assert any(all(j + p not in away for p in mask) for mask, j in listed)
+
+
+def test_rows_without_an_id_are_met(spark):
+    item = " ".join(f"t{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, [item, "no", "x " + item], [None, 2, 3]), bench).collect()
+    assert sorted((g.doc_id is None, g.doc_id or 0, g.start) for g in got) == [(False, 3, 1), (True, 0, 0)]
 
 
 def test_decontamination_empty(spark):
