@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,26 +45,52 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value being evaluated once however often body uses it: higher-order functions don't share common parts."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum of all numbers before each one. Blocks of about the square root of their number are summed by themselves, so no fold copies a long array at every step."""
+
+    def before(part: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def summed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, v: n + v))
+        return F.flatten(F.zip_with(parts, before(totals, F.lit(0)), before))
+
+    return let(numbers, lambda own: F.when(F.size(own) < 8, before(own, F.lit(0))).otherwise(let(in_blocks(own), summed)))
+
+
+def in_blocks(values: Column) -> Column:
+    """An array that isn't empty, cut into blocks of about the square root of its size."""
+    size = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / size).cast("int") - 1), lambda k: F.slice(values, k * size + 1, size))
+
+
+def newlines(part: Column) -> Column:
+    return F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches of a pattern, in order, as (line, token); lines are counted by newlines alone."""
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(tokens))
+    gaps = lambda own: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(own))
     empty = F.array().cast("array<struct<line:int,token:string>>")
 
-    def newlines(part):
-        return F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
-
-    def step(acc, x):
-        line = acc["line"] + newlines(x["gap"])
-        return F.struct((line + newlines(x["token"])).alias("line"), F.concat(acc["found"], F.array(F.struct(line.alias("line"), x["token"].alias("token")))).alias("found"))
+    def lined(own: Column) -> Column:
+        before = F.zip_with(gaps(own), own, lambda g, t: F.struct(newlines(g).alias("gap"), newlines(t).alias("own")))
+        sums = let(before, lambda b: F.zip_with(running_sums(F.transform(b, lambda x: x["gap"] + x["own"])), b, lambda n, x: n + x["gap"] + 1))
+        return F.zip_with(sums, own, lambda n, t: F.struct(n.alias("line"), t.alias("token")))
 
-    walked = F.aggregate(F.arrays_zip(gaps.alias("gap"), tokens.alias("token")), F.struct(F.lit(1).alias("line"), empty.alias("found")), step)
-    return F.when(F.size(tokens) == 0, empty).otherwise(walked["found"])
+    return F.when(text.rlike(pattern), let(tokens, lined)).otherwise(empty)
 
 
-def first_line_with(text: Column, needle: Column) -> Column:
-    """Number of the first line that contains the needle; null without one, or for an empty needle."""
-    numbered = F.filter(F.transform(lines(text), lambda line, i: F.when(F.contains(line, needle), i + 1)), lambda n: n.isNotNull())
+def first_line_with(own: Column, needle: Column) -> Column:
+    """Number of the first of these lines that contains the needle; null without one, or for an empty needle."""
+    numbered = F.filter(F.transform(own, lambda line, i: F.when(F.contains(line, needle), i + 1)), lambda n: n.isNotNull())
     return F.when(needle != "", F.get(numbered, F.lit(0)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import LINE_END, characters, code_name, excerpt, first_line_with, half_even, lines, located, longest_word, strip
+from quillspark.functions.text import LINE_END, code_name, excerpt, first_line_with, half_even, in_blocks, let, lines, located, longest_word, running_sums, strip
 from quillspark.functions.verdicts import FAILURE, failure, gate, no_failures, skipped
 
 # What a preamble says to allow Unicode; colour commands; markers; delimiter tokens; limits.
@@ -18,57 +18,82 @@ MAX_LOCATED = 10
 NEEDLE = 30
 SWATCHES = 6
 LEAST_COLOURS = 2
+BEYOND = r"[^\x00-\x7f]"
 # End of fixed values.
 
 
 def ascii_findings(text: Column) -> Column:
     """Every character beyond ASCII as a failure with line, column and the line's excerpt. Unicode names are a dimension to join: see unicode_names."""
 
-    def of_line(line, i):
-        marked = F.filter(F.transform(characters(line), lambda c, j: F.struct(c.alias("c"), (j + 1).alias("j"))), lambda x: F.ascii(x["c"]) > 127)
-        found = F.transform(marked, lambda x: failure(F.concat(F.lit("non-ASCII '"), x["c"], F.lit("' ("), code_name(x["c"]), F.lit(")")), i + 1, x["j"], excerpt(line)))
-        return F.when(line.rlike(r"[^\x00-\x7f]"), found).otherwise(no_failures())
+    def of_line(line):
+        def found(own):  # a line's characters beyond ASCII; each is one long, so its column follows from the gaps before
+            gaps = F.transform(F.slice(F.split(line["own"], BEYOND, -1), F.lit(1), F.size(own)), lambda g: F.length(g))
+            columns = let(gaps, lambda g: F.zip_with(running_sums(F.transform(g, lambda n: n + 1)), g, lambda n, x: n + x + 1))
+            one = lambda c, j, shown: failure(F.concat(F.lit("non-ASCII '"), c, F.lit("' ("), code_name(c), F.lit(")")), line["i"], j, shown)
+            return let(excerpt(line["own"]), lambda shown: F.zip_with(own, columns, lambda c, j: one(c, j, shown)))
 
-    return F.flatten(F.transform(lines(text), of_line))
+        return let(F.regexp_extract_all(line["own"], F.lit(BEYOND), F.lit(0)), found)
+
+    marked = F.filter(F.transform(lines(text), lambda line, i: F.struct(line.alias("own"), (i + 1).alias("i"))), lambda x: x["own"].rlike(BEYOND))
+    return F.when(text.rlike(BEYOND), F.flatten(F.transform(marked, of_line))).otherwise(no_failures())
 
 
 def ascii_gate(text: Column, allow_declared: bool = True) -> Column:
     """Fails on characters beyond ASCII, unless the document declares that it can have them."""
-    plain = ~text.rlike(r"[^\x00-\x7f]")
+    plain = ~text.rlike(BEYOND)
     if allow_declared:
         plain = plain | text.rlike(UNICODE_PREAMBLE)
     return gate("ascii", F.when(plain, no_failures()).otherwise(ascii_findings(text)))
 
 
-def delimiter_findings(text: Column) -> Column:
-    """Unbalanced delimiters by line and detail: a fold over tokens with a stack. A closer that fits nothing leaves the stack as it is."""
-    stack_type, bad_type = "array<struct<kind:string,line:int,shown:string>>", "array<struct<line:int,detail:string>>"
-    zero = F.struct(F.array().cast(stack_type).alias("stack"), F.array().cast(bad_type).alias("bad"))
+_OPEN, _BAD = "array<struct<kind:string,line:int,shown:string>>", "array<struct<line:int,detail:string>>"
+
+
+def _folded(tokens: Column, below: Column) -> Column:
+    """(pops, open, bad) after some tokens, when the stack `below` stood before them: how many of its entries are closed, what is open on top, closers that fit nothing."""
+    zero = F.struct(F.lit(0).alias("pops"), F.array().cast(_OPEN).alias("open"), F.array().cast(_BAD).alias("bad"))
 
     def step(acc, x):
-        t, top = x["token"], F.try_element_at(acc["stack"], F.lit(-1))
+        t, own = x["token"], F.size(acc["open"])
+        top = F.when(own > 0, F.try_element_at(acc["open"], F.lit(-1))).otherwise(F.try_element_at(below, -1 - acc["pops"]))
         opens_env, closes_env = F.startswith(t, F.lit("\\begin{")), F.startswith(t, F.lit("\\end{"))
         env = F.when(opens_env, F.substring(t, 8, 1 << 30)).when(closes_env, F.substring(t, 6, 1 << 30))
         env = F.substring_index(env, "}", 1)
-        toggles = t.isin("$", "$$")
-        opens = opens_env | t.isin("\\(", "\\[")
         kind = F.when(opens_env | closes_env, F.concat(F.lit("env:"), env)).when(t.isin("\\(", "\\)"), "inline").when(t.isin("\\[", "\\]"), "display").otherwise(t)
         fits = F.coalesce(top["kind"] == kind, F.lit(False))
-        pushed = F.concat(acc["stack"], F.array(F.struct(kind.alias("kind"), x["line"].alias("line"), F.when(opens_env, env).otherwise(t).alias("shown"))))
-        popped = F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
+        grows = opens_env | t.isin("\\(", "\\[") | (t.isin("$", "$$") & ~fits)
+        opened = F.struct(kind.alias("kind"), x["line"].alias("line"), F.when(opens_env, env).otherwise(t).alias("shown"))
         says = F.when(closes_env, F.concat(F.lit("\\end{"), env, F.lit("} closes "), F.coalesce(top["shown"], F.lit("nothing")), F.lit(", which is not what is open"))).when(t == "\\)", F.lit("\\) with no matching \\(")).otherwise(F.lit("\\] with no matching \\["))
-        bad = F.concat(acc["bad"], F.array(F.struct(x["line"].alias("line"), says.alias("detail"))))
-        no_token = F.startswith(t, F.lit("%")) | t.rlike(r"^\\[\\$%&#_{}]$")
-        keep = F.struct(acc["stack"].alias("stack"), acc["bad"].alias("bad"))
-        return F.when(no_token, keep).when(opens | (toggles & ~fits), F.struct(pushed.alias("stack"), acc["bad"].alias("bad"))).when(fits, F.struct(popped.alias("stack"), acc["bad"].alias("bad"))).otherwise(F.struct(acc["stack"].alias("stack"), bad.alias("bad")))
+        refused = F.struct(x["line"].alias("line"), says.alias("detail"))
+        return F.struct(
+            F.when(~grows & fits & (own == 0), acc["pops"] + 1).otherwise(acc["pops"]).alias("pops"),
+            F.when(grows, F.array_append(acc["open"], opened)).when(fits, F.slice(acc["open"], F.lit(1), F.greatest(own - 1, F.lit(0)))).otherwise(acc["open"]).alias("open"),
+            F.when(grows | fits, acc["bad"]).otherwise(F.array_append(acc["bad"], refused)).alias("bad"),
+        )
+
+    return F.aggregate(tokens, zero, step)
+
+
+def delimiter_findings(text: Column) -> Column:
+    """Unbalanced delimiters by line and detail: a fold over tokens with a stack. A closer that fits nothing leaves the stack as it is.
+
+    The tokens are folded in blocks of about the square root of their number: a step copies what its block has
+    opened and refused, and only from block to block the whole.
+    """
+    zero = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(_BAD).alias("bad"))
+
+    def join(acc, block):
+        below = lambda pops: F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - pops)
+        return let(_folded(block, acc["open"]), lambda x: F.struct(F.concat(below(x["pops"]), x["open"]).alias("open"), F.concat(acc["bad"], x["bad"]).alias("bad")))
 
     def left(acc):
         still = F.transform(
-            acc["stack"], lambda s: F.struct(s["line"].alias("line"), F.concat(F.when(F.startswith(s["kind"], F.lit("env:")), F.lit("environment")).otherwise(F.lit("math mode")), F.lit(" opened by '"), s["shown"], F.lit("' is never closed")).alias("detail"))
+            acc["open"], lambda s: F.struct(s["line"].alias("line"), F.concat(F.when(F.startswith(s["kind"], F.lit("env:")), F.lit("environment")).otherwise(F.lit("math mode")), F.lit(" opened by '"), s["shown"], F.lit("' is never closed")).alias("detail"))
         )
         return F.array_sort(F.concat(acc["bad"], still))
 
-    return F.aggregate(located(text, DELIMITER), zero, step, left)
+    tokens = F.filter(located(text, DELIMITER), lambda x: ~(F.startswith(x["token"], F.lit("%")) | x["token"].rlike(r"^\\[\\$%&#_{}]$")))
+    return let(tokens, lambda own: F.when(F.size(own) == 0, F.array().cast(_BAD)).otherwise(F.aggregate(in_blocks(own), zero, join, left)))
 
 
 def delimiter_gate(text: Column) -> Column:
@@ -91,23 +116,30 @@ def coverage_gate(text: Column, inventory: Column, inventory_failed: Column | No
     decision. An empty inventory is a pass only if it was read.
     """
     unread = F.lit(False) if inventory_failed is None else inventory_failed
-    invented = fabrications(text)
-    made_up = F.transform(invented, lambda d: failure(F.concat(F.lit("a drawing was invented here; crop the region instead: "), d), first_line_with(text, F.substring(d, 1, NEEDLE))))
     expected = F.filter(inventory, lambda m: m["placement"].isin("inline", "block") if require_block_marks else m["placement"] == "inline")
     wanted = F.aggregate(expected, F.lit(0), lambda n, m: n + m["cnt"])
     found = marker_count(text)
-    summary = F.array(failure(F.concat(wanted.cast("string"), F.lit(" mark(s) seen, "), found.cast("string"), F.lit(" accounted for, "), (wanted - found).cast("string"), F.lit(" dropped silently"))))
 
-    def place(m):
+    def made_up(invented):  # the lines are split only where a line is looked for, and once
+        shown = let(lines(text), lambda own: F.transform(invented, lambda d: failure(F.concat(F.lit("a drawing was invented here; crop the region instead: "), d), first_line_with(own, F.substring(d, 1, NEEDLE)))))
+        return F.when(F.size(invented) > 0, shown).otherwise(no_failures())
+
+    def place(own, m):
         anchor = F.lower(longest_word(m["context"]))
-        line = F.get(F.filter(F.transform(lines(text), lambda x, i: F.when(F.contains(F.lower(x), anchor), i + 1)), lambda n: n.isNotNull()), F.lit(0))
-        return failure(F.concat(m["placement"], F.lit(" mark x"), m["cnt"].cast("string"), F.lit(" unaccounted for (called '"), m["description"], F.lit("', which is not reliable)")), F.when(anchor != "", line), None, F.substring(m["context"], 1, 80))
-
-    shown = F.transform(F.slice(expected, 1, MAX_LOCATED), place)
-    more = F.when(F.size(expected) > MAX_LOCATED, F.array(failure(F.concat(F.lit("... and "), (F.size(expected) - MAX_LOCATED).cast("string"), F.lit(" more not listed; so many marks are an upper bound"))))).otherwise(no_failures())
-    dropped = F.concat(summary, shown, more)
-    nothing = (F.size(inventory) == 0) & (F.size(invented) == 0)
-    return F.when(nothing & unread, skipped("coverage")).otherwise(gate("coverage", F.when(wanted <= found, made_up).otherwise(F.concat(made_up, dropped))))
+        what = F.concat(m["placement"], F.lit(" mark x"), m["cnt"].cast("string"), F.lit(" unaccounted for (called '"), m["description"], F.lit("', which is not reliable)"))
+        return let(anchor, lambda a: failure(what, first_line_with(own, a), None, F.substring(m["context"], 1, 80)))
+
+    def dropped(marks):
+        summary = F.array(failure(F.concat(wanted.cast("string"), F.lit(" mark(s) seen, "), found.cast("string"), F.lit(" accounted for, "), (wanted - found).cast("string"), F.lit(" dropped silently"))))
+        shown = let(F.transform(lines(text), lambda x: F.lower(x)), lambda own: F.transform(F.slice(marks, 1, MAX_LOCATED), lambda m: place(own, m)))
+        more = F.when(F.size(marks) > MAX_LOCATED, F.array(failure(F.concat(F.lit("... and "), (F.size(marks) - MAX_LOCATED).cast("string"), F.lit(" more not listed; so many marks are an upper bound"))))).otherwise(no_failures())
+        return F.concat(summary, shown, more)
+
+    def judged(invented):
+        nothing = (F.size(inventory) == 0) & (F.size(invented) == 0)
+        return F.when(nothing & unread, skipped("coverage")).otherwise(gate("coverage", F.when(wanted <= found, made_up(invented)).otherwise(F.concat(made_up(invented), let(expected, dropped)))))
+
+    return let(fabrications(text), judged)
 
 
 def colour_gate(text: Column, colours: Column) -> Column:

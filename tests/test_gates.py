@@ -73,6 +73,17 @@ def test_delimiters_against_a_plain_fold(spark):
         assert [f.line for f in r_.x] == fold(samples[r_.i]), samples[r_.i]
 
 
+def test_long_texts(spark):
+    r = random.Random(2)
+    parts = ["$", "$$", "\\(", "\\)", "\\begin{a}", "\\end{a}", "\\begin{b}", "\\end{b}", "\n", "é", "x"]
+    samples = ["".join(r.choice(parts) for _ in range(30_000)), "\\begin{a}\n" * 20_000, "\\end{a}\n" * 20_000, "\\begin{a}" * 9_000 + "\\end{a}" * 9_500]
+    rows = spark.createDataFrame(list(enumerate(samples)), "i int, t string").repartition(4).select("i", gates.delimiter_findings(F.col("t")).alias("x"), gates.ascii_findings(F.col("t")).alias("y")).collect()
+    for r_ in rows:
+        s = samples[r_.i]
+        assert [f.line for f in r_.x] == fold(s)
+        assert [(f.line, f.column) for f in r_.y] == [(i, j) for i, line in enumerate(s.splitlines(), 1) for j, c in enumerate(line, 1) if ord(c) > 127]
+
+
 @pytest.mark.parametrize(("source", "n"), [("$a$", 0), ("\\begin{x}\\end{x}", 0), ("$a", 1), ("\\begin{x}", 1), ("\\end{x}", 1), ("\\)", 1), ("\\begin{a}\\begin{b}\\end{a}", 3), ("costs \\$5", 0), ("$$a$$", 0)])
 def test_delimiter_gate(spark, source, n):
     assert len(one(spark, gates.delimiter_gate(F.col("t")), t=("string", source)).failures) == n
