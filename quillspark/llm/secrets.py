@@ -7,7 +7,7 @@ a step costs no recount. A candidate is a secret if the entropy of some window r
 threshold and no allow rule suppresses it. Everything is built-in functions.
 
 Positions are code points: the text between matches and the matches have lengths, whose running sums
-are starts and ends.
+are starts and ends; they are summed in blocks, so a text with very many matches costs little more for each.
 
 Defined results: null and empty texts have no spans; every row gives one row; an entropy span equal to
 a pattern's span is listed too, being of another kind; other columns are not looked at.
@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import characters, let, running_sums
 from quillspark.llm.shared import read
 
 # The patterns of named kinds.
@@ -67,20 +68,24 @@ _SPAN = "struct<s:int,k:int,e:int,kind:string,m:string>"
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Spans of a pattern's matches, leftmost and not overlapping; keep says of (match, group 1) whether it stays."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if pattern == ASSIGN else matches
     none = F.array().cast(f"array<{_SPAN}>")
-    found = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("m"), groups.alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["m"])
-        span = F.array(F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), F.lit(kind).alias("kind"), x["m"].alias("m")))
-        kept = F.concat(acc["found"], span)
-        return F.struct(e.alias("at"), (kept if keep is None else F.when(keep(x["m"], x["g"]), kept).otherwise(acc["found"])).alias("found"))
+    def placed(pieces: Column) -> Column:
+        starts = running_sums(F.transform(pieces, lambda x: F.length(x["gap"]) + F.length(x["m"])))
+
+        def span(x, before):
+            s = before + F.length(x["gap"])
+            return F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), (s + F.length(x["m"])).alias("e"), F.lit(kind).alias("kind"), x["m"].alias("m"), x["g"].alias("g"))
+
+        spans = F.zip_with(pieces, starts, span)
+        left = spans if keep is None else F.filter(spans, lambda x: keep(x["m"], x["g"]))
+        return F.transform(left, lambda x: x.dropFields("g"))
+
+    def matched(matches: Column) -> Column:
+        groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if pattern == ASSIGN else matches
+        return let(F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("m"), groups.alias("g")), placed)
 
-    return F.when(text.rlike(pattern), F.aggregate(found, zero, step)["found"]).otherwise(none)
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matched)).otherwise(none)
 
 
 def _weight(count: Column) -> Column:
@@ -91,10 +96,10 @@ def _weight(count: Column) -> Column:
 def window_entropy(string: Column, cls: CharClass) -> Column:
     """The highest Shannon entropy, in bits a character, over windows of cls.window characters of a string of the class, by incremental counts."""
     w = cls.window
-    codes = F.transform(F.sequence(F.lit(1), F.length(string)), lambda i: F.instr(F.lit(cls.alphabet), F.substring(string, i, F.lit(1))) - 1)
+    codes = F.transform(characters(string), lambda c: F.instr(F.lit(cls.alphabet), c) - 1)
     none = F.lit(None).cast("int")
     #: each step's character and the one that leaves the window, as one array: lambda variables are not evaluated anew
-    steps = F.zip_with(codes, F.concat(F.array_repeat(none, w), codes), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+    steps = let(codes, lambda own: F.zip_with(own, F.concat(F.array_repeat(none, w), own), lambda new, old: F.struct(new.alias("new"), old.alias("old"))))
     steps = F.slice(steps, F.lit(1), F.length(string))
     zero = F.struct(F.array_repeat(F.lit(0), len(cls.alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(1e9).alias("least"))
 
