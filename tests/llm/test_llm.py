@@ -192,6 +192,12 @@ def test_notices_inside_other_text(spark):
     rows = licenses.license_scan(docs(spark, [t for t, _ in cases])).collect()
     for i, (_, want) in enumerate(cases):
         assert {r.license for r in rows if r.doc_id == i} == want, (i, rows)
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(cases)), "text": [t for t, _ in cases]}))
+    assert sorted(con.execute(licenses.oracle()).fetchall()) == sorted((r.doc_id, r.license, r.dice, r.segments) for r in rows)
 
 
 def test_size_bounds_lose_nothing():
