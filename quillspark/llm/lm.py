@@ -9,8 +9,8 @@ it stands for. Pairs seen once are level 1. The filter is cut into shards that g
 training tokens, and each shard's bit array has BITS_PER_ENTRY bits for each entry counted in it, so neither
 words nor pairs are left out at any size.
 
-Shards. A pair lies in the shard of its second word, the pairs of the VOCABULARY most frequent
-words in that of their key (their counts ride with the tasks, so no shard holds all of a frequent word). A
+Shards. A pair lies in the shard of its second word, the pairs of words that are a FREQUENT-th of all training
+tokens or more (FREQUENT words at most, by their number) in that of their key (their counts ride with the tasks, so no shard holds all of a frequent word). A
 shard so knows its words' exact counts, by the word itself. Texts are packed into chunks, one row for a
 chunk and shard; a shard counts the training pairs of its rows, builds its array, and then reads the rows
 again to probe. What it finds is added up by chunk. Nothing that grows is broadcast or collected.
@@ -46,12 +46,12 @@ from quillspark.functions.workers import importable
 from quillspark.llm.shared import crc_mod, read, stage_table
 
 FOLDS = 10
-#: Frequent words whose counts ride with the tasks, with the place of all others and the end token. No bound of the model.
-VOCABULARY = 1 << 16
+#: A word that is one of so many training tokens or more often is frequent: its count rides with the tasks. There are this many at most. No bound of the model.
+FREQUENT = 1 << 16
+#: So that a shard's largest word stays in proportion to it, there are more in a corpus of very many shards, up to this number.
+MOST_FREQUENT = 1 << 22
 RARE, END = 0, 1
-MIN_PAIR = 1
 BITS_PER_ENTRY = 12
-MAX_BITS = 1 << 28
 HASHES = 3
 LEVELS = 48
 MU = 64.0
@@ -174,37 +174,6 @@ def word_ids(words: list[bytes]) -> dict[bytes, int]:
     return _known[1]
 
 
-def build_filter(pairs: DataFrame, max_bits: int = MAX_BITS, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, int]:
-    """One array of at most max_bits for pairs (key, c), written: its 64-bit words and the least count it holds. op10 has a shard array without a bound instead."""
-    level = F.floor(F.log2(F.col("c").cast("double"))).cast("int") + 1
-    sizes = pairs.where(F.col("c") >= min_pair).groupBy(F.least(F.col("c"), F.lit(1024)).alias("c")).agg(F.sum(level).alias("entries")).orderBy(F.desc("c")).collect()  # at most 1024 rows
-    entries, least = 0, 1024
-    for r in sizes:
-        if (entries + r["entries"]) * BITS_PER_ENTRY > max_bits and r["c"] < 1024:
-            break
-        entries, least = entries + r["entries"], r["c"]
-    bits = max(64, min(max_bits, -(-entries * BITS_PER_ENTRY // 64) * 64))
-    importable()
-    schema = to_arrow_schema(T.StructType.fromDDL("word long, bits long"))
-
-    def run(batches):
-        for b in batches:
-            keys, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            q = np.floor(np.log2(c)).astype(int) + 1
-            where = np.concatenate([p for k in range(1, int(q.max(initial=0)) + 1) for p in _positions(keys[q >= k], k, bits)] or [np.zeros(0, np.uint64)])
-            where = np.unique(where)
-            at, values = where >> np.uint64(6), np.uint64(1) << (where & np.uint64(63))
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
-            joined = np.bitwise_or.reduceat(values, first) if len(at) else values
-            yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int64)), pa.array(joined.view(np.int64))], schema=schema)
-
-    # a word of 64 bits at a time: at most bits / 64 rows, so what is collected is bounded by max_bits
-    got = pairs.where(F.col("c") >= least).select("key", "c").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return words, least
-
-
 #: Packed rows: keys that a chunk has in a shard, by word; w has a frequent word's id or -1 - the place in words (joined by
 #: spaces, which no word has), of_w the number of its keys, times the occurrences of each key, and at, for each of these,
 #: twice the document's place in the chunk, and one more if it is held out. One more row for a chunk has its documents.
@@ -327,8 +296,8 @@ class _Shard:
         self.rows.close()
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, vocabulary: int = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Scores of all rows by a model of the rows whose fold is not 0; see the module. vocabulary and shard_tokens change no count, only where counting is done."""
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, frequent: int = FREQUENT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Scores of all rows by a model of the rows whose fold is not 0; see the module. frequent and shard_tokens change no count, only where counting is done."""
     spark = df.sparkSession
     fold = crc_mod(id_col, folds)
     train = df.where(fold != 0).select(text_col)
@@ -336,7 +305,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_docs = train.count()
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + n_docs, distinct + (n_docs > 0)
-    head = counts.orderBy(F.desc("c"), "word").limit(vocabulary - 2).collect()
+    frequent = max(frequent, min(MOST_FREQUENT, 4 * n // shard_tokens))
+    head = counts.where(F.col("c") * frequent >= n).collect()  # their counts sum to n at most, so there are `frequent` at most
     names, freq = [r["word"].encode() for r in head], np.array([0, n_docs, *(r["c"] for r in head)], np.int64)
     model = spark.sparkContext.broadcast((names, freq))
     shards = max(LEAST_SHARDS, -(-n // shard_tokens))

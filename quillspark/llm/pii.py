@@ -4,14 +4,14 @@ Patterns give the base spans. Beyond them, regions of a text that hold digits in
 address are cut into tokens, and a semi-Markov model chooses segments and types together: a
 segment of up to LONGEST tokens is scored as a whole (its digits and their grouping, check digit, signs,
 neighbours, the words before), every other token is a segment of its own without a type, and dynamic
-programming finds the best segmentation. The model is fitted here, by the gradient of its likelihood
+programming finds the best segmentation, holding a few bytes of each token. The model is fitted here, by the gradient of its likelihood
 (forward and backward sums over segmentations), to sentences made by a seeded generator: numbers,
 dates and prices among personal data in the forms people write. It takes nothing from the corpus.
 
 Found segments are added where they meet no base span. Positions are code points.
 
 Defined results: null and empty texts have no spans; every row gives one row, repeated rows repeated ones;
-among base spans of a kind none overlap, spans of two kinds may; other columns are not looked at.
+among base spans of a kind none overlap, spans of two kinds may; a text of any length is segmented as a whole, piece by piece; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +35,8 @@ OUT = 4  # the type of a token outside
 LONGEST = 16
 #: Characters around a trigger that its region has at least.
 AROUND = 48
+#: Tokens of a region whose features are held at a time.
+PIECE = 2048
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -112,10 +116,11 @@ class Tokens:
         return self.text[self.spans[i - 1][1] : self.spans[i][0]] if 0 < i < len(self.spans) else " "
 
 
-def candidates(t: Tokens) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of segments of more than chance shape: the only ones a type is thought of for."""
+def candidates(t: Tokens, first: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of segments of more than chance shape that begin in tokens first to end: the only ones a type is thought of for."""
     out, n = [], len(t.words)
-    for i, w in enumerate(t.words):
+    for i in range(first, n if end is None else end):
+        w = t.words[i]
         if t.digits[i] or w in "+(":
             digits, stop = 0, min(n, i + LONGEST)
             only_card = t.digits[i]
@@ -213,26 +218,9 @@ class SemiCrf:
 
     def best(self, t: Tokens) -> list[tuple[int, int, int]]:
         """The best segmentation's typed segments (start, end, kind), in token numbers."""
-        ends, n = self.lattice(t), len(t.words)
-        value = [[-math.inf] * (OUT + 1) for _ in range(n + 1)]
-        back: list[list] = [[None] * (OUT + 1) for _ in range(n + 1)]
-        value[0][OUT] = 0.0
-        pair = [[self._pair(a, b) for b in range(OUT + 1)] for a in range(OUT + 1)]
-        for j in range(1, n + 1):
-            for i, kind, features in ends[j]:
-                own = self._score(features)
-                for a in range(OUT + 1):
-                    v = value[i][a] + pair[a][kind] + own
-                    if v > value[j][kind]:
-                        value[j][kind], back[j][kind] = v, (i, a)
-        found, j = [], n
-        kind = max(range(OUT + 1), key=lambda k: value[n][k]) if n else OUT
-        while j:
-            i, a = back[j][kind]
-            if kind != OUT:
-                found.append((i, j, kind))
-            j, kind = i, a
-        return found[::-1]
+        path = Path(self)
+        path.extend(t, 0, len(t.words))
+        return path.segments()
 
     def gradient(self, t: Tokens, truth: set[tuple[int, int, int]]) -> tuple[dict[str, float], float]:
         """Features of the true segmentation less those expected, and its log likelihood."""
@@ -294,6 +282,70 @@ class SemiCrf:
         return history
 
 
+class Path:
+    """The best segmentation, found from left to right. It holds a few bytes of each token and the values of the last LONGEST of them, nothing of the tokens' features."""
+
+    def __init__(self, model: SemiCrf) -> None:
+        self.model, self.n = model, 0
+        self.pair = [[model._pair(a, b) for b in range(OUT + 1)] for a in range(OUT + 1)]
+        start = [-math.inf] * OUT + [0.0]
+        self.value: dict[int, list[float]] = {0: start}  # by tokens before, for each type of the last segment
+        self.back = bytearray(2 * (OUT + 1))  # of each of these, the segment's tokens and the type before it
+
+    def extend(self, t: Tokens, first: int, end: int) -> None:
+        """Take in the segments that end in tokens first + 1 to end of t, which follow those taken in before. t has LONGEST tokens before first, or the text's beginning, and what features look at after end."""
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(end - first)]
+        for i, j, kind in candidates(t, max(0, first - LONGEST), end):
+            if first < j <= end:
+                ends[j - first - 1].append((i, kind))
+        shift = self.n - first
+        for j in range(first + 1, end + 1):
+            value, back = [-math.inf] * (OUT + 1), bytearray(2 * (OUT + 1))
+            for i, kind in [(j - 1, OUT), *ends[j - first - 1]]:
+                own = self.model._score(out_features(t, i) if kind == OUT else segment_features(t, i, j, kind))
+                for a, before in enumerate(self.value[i + shift]):
+                    v = before + self.pair[a][kind] + own
+                    if v > value[kind]:
+                        value[kind], back[2 * kind], back[2 * kind + 1] = v, j - i, a
+            self.n += 1
+            self.value[self.n] = value
+            self.value.pop(self.n - LONGEST - 1, None)
+            self.back += back
+
+    def segments(self) -> list[tuple[int, int, int]]:
+        found, j = [], self.n
+        kind = max(range(OUT + 1), key=lambda k: self.value[j][k]) if j else OUT
+        while j:
+            at = 2 * ((OUT + 1) * j + kind)
+            i, before = j - self.back[at], self.back[at + 1]
+            if kind != OUT:
+                found.append((i, j, kind))
+            j, kind = i, before
+        return found[::-1]
+
+
+def typed_spans(text: str, a: int, b: int, model: SemiCrf) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the best segmentation of text[a:b], whose tokens are looked at PIECE at a time."""
+    path, spans = Path(model), array("q")
+    held: list[tuple[int, int]] = []  # tokens whose features are still looked at
+    done = 0  # how many of them are taken in
+
+    def take(until: int) -> None:
+        nonlocal done, held
+        path.extend(Tokens(text[held[0][0] : held[-1][1]]), done, until)
+        drop = max(0, until - 2 * LONGEST)
+        held, done = held[drop:], until - drop
+
+    for m in _TOKEN.finditer(text, a, b):
+        held.append(m.span())
+        spans.extend(m.span())
+        if len(held) >= PIECE + 4 * LONGEST:
+            take(len(held) - LONGEST)
+    if len(held) > done:
+        take(len(held))
+    return [(kind, spans[2 * i], spans[2 * j - 1]) for i, j, kind in path.segments()]
+
+
 def _check_digit(body: str) -> str:
     return next(d for d in "0123456789" if luhn(body + d))
 
@@ -371,17 +423,34 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+class Covered:
+    """Spans joined where they overlap, to be asked what meets them."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+
 def find_spans(text: str | None, model: SemiCrf) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base, all) spans as (kind, start, end), by kind, then start."""
     text = text or ""
     base = base_spans(text)
     added = []
     for a, b in regions(text):
-        t = Tokens(text[a:b])
-        for i, j, kind in model.best(t):
-            start, end = a + t.spans[i][0], a + t.spans[j - 1][1]
-            if not any(s < end and start < e for _, s, e in base):
-                added.append((kind, start, end))
+        added += typed_spans(text, a, b, model)
+    if added:
+        met = Covered([(s, e) for _, s, e in base])
+        added = [x for x in added if not met.overlaps(x[1], x[2])]
     return base, sorted(base + added)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.functions.workers import importable, shared_folder
 
-#: Rows that one output batch of a Python stage has at most; bounds the Python workers' memory.
+#: Rows and bytes of a slice that a Python stage works on at a time; a larger row is a slice by itself, so a worker's memory is bounded by these and by the longest row.
 ROWS_PER_BATCH = 512
+BYTES_PER_BATCH = 4 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +57,21 @@ def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
         return placed(stage_table(df, name)), row
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of ROWS_PER_BATCH rows and BYTES_PER_BATCH bytes of texts and binaries at most, a larger row alone."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    until = np.cumsum(size)
+    at, n = 0, batch.num_rows
+    while at < n:
+        before = int(until[at - 1]) if at else 0
+        end = min(n, at + ROWS_PER_BATCH, max(at + 1, int(np.searchsorted(until, before + BYTES_PER_BATCH, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable], *, finish: bool = False) -> DataFrame:
     """Run Python over Arrow batches.
 
@@ -71,8 +89,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for b in batches:
-            for at in range(0, b.num_rows, ROWS_PER_BATCH):
-                part = b.slice(at, ROWS_PER_BATCH)
+            for part in slices(b):
                 got = step(*(c.to_pylist() for c in part.columns))
                 if got is not None:
                     yield batch(got)
@@ -90,8 +107,7 @@ def _on_text(df: DataFrame, column: str, make: Callable[[], Callable], use: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = make()
         for b in batches:
-            for first in range(0, b.num_rows, ROWS_PER_BATCH):
-                part = b.slice(first, ROWS_PER_BATCH)
+            for part in slices(b):
                 yield use(part, at, own(part.column(at).to_pylist()))
 
     return df.mapInArrow(run, df.schema)

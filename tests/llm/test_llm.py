@@ -31,6 +31,24 @@ def docs(spark, texts, ids=None):
 AWKWARD = [None, "", "   \t\n", "word", "two words", "ä€😀 " * 3, "x" * 5000, "a b c d e f g " * 400, "\u0000\u001c  ctrl", "two words"]
 
 
+# ---- slices
+
+
+def test_slices_hold_rows_and_bytes():
+    import pyarrow as pa
+
+    from quillspark.llm import shared
+
+    texts = ["x" * n for n in (10, shared.BYTES_PER_BATCH + 5, 3, 0)] + [None] * 3 + ["y" * (shared.BYTES_PER_BATCH // 3)] * 7 + [""] * 1200
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    parts = list(shared.slices(b))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    for p in parts:
+        size = sum(len(t or "") for t in p.column(1).to_pylist())
+        assert 0 < p.num_rows <= shared.ROWS_PER_BATCH and (size <= shared.BYTES_PER_BATCH or p.num_rows == 1)
+    assert list(shared.slices(b.slice(0, 0))) == [] and sum(p.num_rows for p in shared.slices(b.slice(5, 9))) == 9
+
+
 # ---- media
 
 
@@ -419,6 +437,30 @@ def test_semi_markov_sums_and_best():
     assert abs(like - (score(best) - math.log(sum(math.exp(score(p)) for p in paths)))) < 1e-6
 
 
+def test_segmentation_in_pieces_is_the_whole(monkeypatch):
+    model, r = pii.trained(), random.Random(3)
+    texts = [" ".join(pii.made_sentence(r)[0] for _ in range(30)), " ".join(str(r.randrange(10 ** r.randint(1, 10))) for _ in range(900)), "joe at x dot com " * 60, "\n".join("12 345 678 9012" for _ in range(200)), "(555) 555-0199" * 40, ""]
+    for text in texts:
+        t = pii.Tokens(text)
+        whole = [(k, t.spans[i][0], t.spans[j - 1][1]) for i, j, k in model.best(t)]
+        for piece in (1, 7, 64, 2048):
+            monkeypatch.setattr(pii, "PIECE", piece)
+            assert pii.typed_spans(text, 0, len(text), model) == whole, (piece, text[:40])
+
+
+def test_long_number_tables_need_little_memory():
+    import tracemalloc
+
+    r = random.Random(1)
+    text = "\n".join(" ".join(str(r.randrange(10**6)) for _ in range(8)) for _ in range(1_000))
+    model = pii.trained()
+    tracemalloc.start()
+    pii.find_spans(text, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20, peak  # 8,000 tokens
+
+
 def test_semi_markov_finds_forms_beyond_patterns():
     model = pii.trained()
     found = lambda x: [(pii.KINDS[k], x[s:e]) for k, s, e in pii.find_spans(x, model)[1]]
@@ -723,12 +765,12 @@ def test_log_bloom_never_falls_short():
     assert (lm.LogBloom(words).counts(r.integers(0, 2**63, 5000, dtype=np.uint64)) == 0).mean() > 0.8
 
 
-@pytest.mark.parametrize("vocabulary", [1 << 16, 6])
-def test_base_score_is_exact(spark, vocabulary):
+@pytest.mark.parametrize("frequent", [1 << 16, 6])
+def test_base_score_is_exact(spark, frequent):
     r = random.Random(3)
     texts = [*AWKWARD, "A a b É é", *(" ".join(r.choice(["the", "of", "cat", "Dog", "x1", "rare%d" % r.randrange(40)]) for _ in range(30)) for _ in range(60))]
     ids = [None if i == 3 else i for i in range(len(texts))]
-    got = lm.score_documents(docs(spark, texts, ids), vocabulary=vocabulary).collect()
+    got = lm.score_documents(docs(spark, texts, ids), frequent=frequent).collect()
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None] for t in texts]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i in ids]
     c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
@@ -749,7 +791,7 @@ def test_model_beats_base_on_held_out(spark):
 
 def test_model_is_a_distribution_of_words(spark):
     texts = ["a b a b c", "a b d", "c a b"] * 20
-    m = lm.score_documents(docs(spark, ["a b", "a c", "b b", *texts], list(range(100, 103)) + list(range(60))), vocabulary=1 << 10).where("doc_id >= 100").collect()
+    m = lm.score_documents(docs(spark, ["a b", "a c", "b b", *texts], list(range(100, 103)) + list(range(60))), frequent=1 << 10).where("doc_id >= 100").collect()
     assert {r.doc_id: r.score for r in m}[100] > {r.doc_id: r.score for r in m}[102]
 
 
@@ -760,14 +802,8 @@ def test_lm_without_training(spark):
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0
 
 
-def test_filter_fits_its_bound(spark):
-    pairs = spark.createDataFrame([(i, 1 + i % 50) for i in range(20_000)], "key long, c long")
-    words, least = lm.build_filter(pairs, max_bits=1 << 16)
-    assert len(words) * 64 <= 1 << 16 and least > lm.MIN_PAIR
-
-
 def test_every_pair_of_every_word_is_scored(spark):
-    """Against exact counts: pairs seen once and pairs of rare words count, whatever vocabulary and shards."""
+    """Against exact counts: pairs seen once and pairs of rare words count, whatever is frequent and however many shards."""
     r = random.Random(8)
     texts = [" ".join(r.choice(["the", "of", *(f"rare{k}" for k in range(300))]) for _ in range(40)) for _ in range(120)]
     rows = docs(spark, [*AWKWARD, *texts])
@@ -780,7 +816,7 @@ def test_every_pair_of_every_word_is_scored(spark):
     wants = {}
     for x in got:
         wants[x.doc_id] = sum(math.log10((level(two[h, w]) + lm.MU * (one[w] + 0.1) / (n + 0.1 * (v + 1))) / (one[h] + lm.MU)) for h, w in zip(of[x.doc_id], of[x.doc_id][1:], strict=False))
-    for rows_ in (got, lm.score_documents(rows, vocabulary=4).collect(), lm.score_documents(rows, shard_tokens=100).collect()):
+    for rows_ in (got, lm.score_documents(rows, frequent=4).collect(), lm.score_documents(rows, shard_tokens=100).collect()):
         assert all(x.score > wants[x.doc_id] - 1e-9 for x in rows_)  # false hits only add
         assert np.mean([abs(x.score - wants[x.doc_id]) < 0.02 * abs(wants[x.doc_id]) for x in rows_]) > 0.9
 
