@@ -42,8 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.functions.workers import importable
-from quillspark.llm.shared import crc_mod, read, stage_table
+from quillspark.llm.shared import arrow_ready, crc_mod, read, stage_table
 
 FOLDS = 10
 #: A word that is one of so many training tokens or more often is frequent: its count rides with the tasks. There are this many at most. No bound of the model.
@@ -128,7 +127,7 @@ def shard_filter(keys: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _partial_counts(df: DataFrame, make, key: str) -> DataFrame:
     """Counts of what make()(text) lists, summed within tasks and then over all: (key, c)."""
-    importable()
+    arrow_ready(df.sparkSession)
     schema = to_arrow_schema(T.StructType.fromDDL(f"key {key}, c long"))
 
     def run(batches):
@@ -311,7 +310,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = spark.sparkContext.broadcast((names, freq))
     shards = max(LEAST_SHARDS, -(-n // shard_tokens))
     total = n + 0.1 * (v + 1)
-    importable()
+    arrow_ready(spark)
     id_type = df.schema[id_col].dataType.simpleString()
     packed_type, found_type = PACKED.format(id_type), FOUND.format(id_type)
     out = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"

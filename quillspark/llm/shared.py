@@ -18,7 +18,10 @@ from quillspark.functions.workers import importable, shared_folder
 
 #: Rows and bytes of a slice that a Python stage works on at a time; a larger row is a slice by itself, so a worker's memory is bounded by these and by the longest row.
 ROWS_PER_BATCH = 512
-BYTES_PER_BATCH = 4 << 20
+BYTES_PER_BATCH = 1 << 20
+#: Rows of the Arrow batches that carry texts between the JVM and Python.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -57,6 +60,13 @@ def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
         return placed(stage_table(df, name)), row
 
 
+def arrow_ready(spark: SparkSession) -> None:
+    """Let workers import the package, and have Arrow batches of ARROW_ROWS rows where the session has Spark's default: of long texts, ten thousand rows are too much for an executor."""
+    importable()
+    if spark.conf.get(_ARROW) == "10000":
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of ROWS_PER_BATCH rows and BYTES_PER_BATCH bytes of texts and binaries at most, a larger row alone."""
     size = np.zeros(batch.num_rows, np.int64)
@@ -78,7 +88,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
     make() runs once per task and returns a function from lists (one per input column) to
     lists (one per output column); with finish it is called once more with None at the end.
     """
-    importable()
+    arrow_ready(df.sparkSession)
     out_type = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out_type)
 
@@ -101,7 +111,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
 
 
 def _on_text(df: DataFrame, column: str, make: Callable[[], Callable], use: Callable) -> DataFrame:
-    importable()
+    arrow_ready(df.sparkSession)
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,22 +42,20 @@ SHARE = 1000
 SAMPLED = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """Bits set in over half of the XXH64 values of the text's three-word shingles, repeats included."""
+def fingerprint(text: str | None, block: int = 1 << 16) -> int:
+    """Bits set in over half of the XXH64 values of the text's three-word shingles, repeats included; shingles are made and hashed a block at a time."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII spaces
     if not words:
         return 0
-    shingles = list(map(b" ".join, zip(words, words[1:], words[2:], strict=False))) if len(words) >= SHINGLE else [b" ".join(words)]
-    return _majority(shingles)
-
-
-def _majority(shingles: list[bytes], block: int = 1 << 16) -> int:
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), block):
-        part = shingles[at : at + block]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), dtype="<u8", count=len(part))
+    if len(words) < SHINGLE:
+        words = [b" ".join(words), b"", b""]
+    counts, n = np.zeros(64, np.int64), len(words) - SHINGLE + 1
+    for at in range(0, n, block):
+        end = min(n, at + block)
+        shingles = map(b" ".join, zip(words[at:end], words[at + 1 : end + 1], words[at + 2 : end + 2], strict=True)) if words[-1] else words[:1]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=end - at)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
