@@ -250,7 +250,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
         total = state[0]
-        edges = stage_table(_starred(_starred(edges, total, True), total, False), "component-edges")
+        wide = stage_table(_starred(edges, total, True), "component-wide")  # at most as many edges as before
+        edges = stage_table(_starred(wide, total, False), "component-edges")
         before, state = state, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
