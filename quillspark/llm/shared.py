@@ -21,6 +21,8 @@ ROWS_PER_BATCH = 512
 BYTES_PER_BATCH = 1 << 20
 #: Rows of the Arrow batches that carry texts between the JVM and Python.
 ARROW_ROWS = 1000
+#: Words of row numbers that are broadcast at most: 64 million rows, some 60 MB.
+MOST_WORDS = 1 << 20
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -45,9 +47,7 @@ def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
 
     The number is the row's place in its Parquet file, the file by a 64-bit hash of its path; a df that is no table of files is written first.
     """
-    row = "row"
-    while row in df.columns:
-        row += "_"
+    row = free_name(df, "row")
 
     def placed(table: DataFrame) -> DataFrame:
         own = table.metadataColumn("_metadata")
@@ -60,6 +60,30 @@ def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
         return placed(stage_table(df, name)), row
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, row: str, away: DataFrame) -> DataFrame:
+    """df, numbered by its column row, without the rows whose numbers are in the column row of away.
+
+    The numbers become bits, a word for 64 rows that follow each other in a file. Up to MOST_WORDS words are broadcast, so
+    texts stay where they are; beyond, rows and words are joined by shuffle.
+    """
+    of, bits = free_name(df, "of"), free_name(df, "bits")
+    word = lambda at: F.floor(at / 64).cast("long")
+    numbers = away.select(F.col(row)["file"].alias("file"), F.col(row)["at"].alias("at"))
+    words = numbers.groupBy(F.struct("file", word(F.col("at")).alias("word")).alias(of)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias(bits))
+    words = stage_table(words, "rows-away")
+    own = df.withColumn(of, F.struct(F.col(row)["file"].alias("file"), word(F.col(row)["at"]).alias("word")))
+    joined = own.join(F.broadcast(words) if words.count() <= MOST_WORDS else words, of, "left")
+    gone = F.col(bits).bitwiseAND(F.expr(f"shiftleft(1L, cast(`{row}`.at % 64 as int))")) != 0
+    return joined.where(~F.coalesce(gone, F.lit(False))).select(df.columns)
+
+
 def arrow_ready(spark: SparkSession) -> None:
     """Let workers import the package, and have Arrow batches of ARROW_ROWS rows where the session has Spark's default: of long texts, ten thousand rows are too much for an executor."""
     importable()

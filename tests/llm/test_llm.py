@@ -49,6 +49,20 @@ def test_slices_hold_rows_and_bytes():
     assert list(shared.slices(b.slice(0, 0))) == [] and sum(p.num_rows for p in shared.slices(b.slice(5, 9))) == 9
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_rows_without_some(spark, tmp_path, monkeypatch, most):
+    from quillspark.llm import shared
+
+    monkeypatch.setattr(shared, "MOST_WORDS", most)
+    spark.range(1000).selectExpr("id", "'x' as row", "1 as of", "2 as BITS", "id % 3 as k").repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    own, row = shared.numbered(df)
+    assert own.select(row).distinct().count() == 1000
+    for cond in ("k = 1", "id < 700", "false", "true"):
+        left = shared.without(own, row, own.where(cond).select(row).union(own.where(cond).select(row))).select(df.columns)
+        assert sorted(r.id for r in left.collect()) == sorted(r.id for r in df.where(f"not ({cond})").collect())
+
+
 # ---- media
 
 
