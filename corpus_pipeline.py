@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, pii, simhash, toxicity
-from quillspark.llm.shared import new_path, numbered, read, stage_table
+from quillspark.llm.shared import new_path, numbered, read, stage_table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, row = numbered(docs)
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
     fps = stage_table(simhash.fingerprints(rows.select(id_.alias("id"), "text"), "id"), "pipeline-fps")
-    keep = stage_table(simhash.classes_of(fps, F.min("id")).select(F.col("chosen")[row].alias(row)).distinct(), "pipeline-originals")
-    return rows.join(keep, row, "left_semi").select(docs.columns)
+    classes = stage_table(simhash.classes_of(fps, F.min("id")), "pipeline-classes")
+    copies = simhash.by_key(fps, classes, "fp", fps.count()).where(F.col("id")[row] != F.col("chosen")[row])
+    return without(rows, row, copies.select(F.col("id")[row].alias(row))).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows, row = numbered(docs)
     found = decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col=row)
-    away = stage_table(found.select(F.col("doc_id").alias(row)).distinct(), "pipeline-contaminated")
-    return rows.join(away, row, "left_anti").select(docs.columns)
+    return without(rows, row, found.select(F.col("doc_id").alias(row))).select(docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
