@@ -11,6 +11,11 @@ from quillspark.functions.text import half_even, lines, strip
 GOLD = ["edited", "cropped", "keep-reviewed"]
 BASELINE = ["transcribed"]
 UNEXAMINED = ["keep-unreviewed", "skipped"]
+# What rows of the two timed arms say they are about.
+FROM_BLANK = "exit criterion: transcription from blank"
+CORRECTED = "exit criterion: correction of emitted output"
+SELF_REPORTED = "exit criterion: correction of emitted output (self-reported time)"
+ANNOTATED = "exit criterion: correction by annotating the typeset output"
 # End of fixed values.
 
 
@@ -122,3 +127,36 @@ def replay(groups: DataFrame, answers: DataFrame) -> DataFrame:
         F.when(F.col("verdict").isin("edited", "cropped"), F.coalesce("after", F.lit(""))).otherwise("").alias("after"), F.when(F.col("verdict") == "flagged", strip(F.coalesce("reason", F.lit("")))).otherwise("").alias("reason"),
         half_even(F.coalesce("seconds", F.lit(0.0)), 2).alias("seconds"), finding_text(F.col("gate"), F.col("detail")).alias("finding"), "instances", "line",
     )
+
+
+def timed_arms(attempts: DataFrame, log: DataFrame, emitted: DataFrame) -> DataFrame:
+    """Attempts at typing a page from blank or at correcting it: (page, arm, exit_code, row); row is null where nothing is to be logged.
+
+    attempts: (page, arm, text, seconds, reported, correct, typeset, mode, source_image): arm is transcribe or fix; reported says
+    that the seconds are the author's own; correct that an unchanged text was right; typeset is the annotated file of a mode that begins with pdf.
+    emitted: (page, text), what the tool wrote. Exit codes: 0 logged; 1 nothing was typed, or an unchanged text nobody vouches for; 2 refused:
+    the page was seen in the other arm, or there is nothing to correct.
+    """
+    fix = F.col("arm") == "fix"
+    known = attempts.join(refusals(log), "page", "left").join(emitted.select("page", F.col("text").alias("was")), "page", "left")
+    pdf = F.startswith(F.coalesce("mode", F.lit("")), F.lit("pdf"))
+    reported, after = F.coalesce("reported", F.lit(False)), F.coalesce("text", F.lit(""))
+    refused = F.when(fix, F.coalesce("no_fix", F.lit(False)) | F.col("was").isNull() | (pdf & ~reported & F.col("typeset").isNull())).otherwise(F.coalesce("no_transcribe", F.lit(False)))
+    same = fix & ~reported & ~pdf & (after == F.col("was"))
+    empty = ~fix & (strip(after) == "")
+    code = F.when(refused, 2).when(empty | (same & ~F.coalesce("correct", F.lit(False))), 1).otherwise(0)
+    row = F.struct(
+        F.when(~fix, "transcribed").when(same, "keep-reviewed").otherwise("edited").alias("verdict"),
+        F.coalesce("source_image", F.lit("")).alias("source_image"),
+        F.when(fix, F.col("was")).otherwise("").alias("before"),
+        F.when(fix & reported, "").when(fix & pdf, F.col("typeset")).otherwise(after).alias("after"),
+        F.when(fix & reported, F.col("seconds")).otherwise(half_even(F.coalesce("seconds", F.lit(0.0)), 2)).alias("seconds"),
+        F.when(~fix, FROM_BLANK).when(reported, SELF_REPORTED).when(pdf, ANNOTATED).otherwise(CORRECTED).alias("finding"),
+        F.coalesce("mode", F.lit("")).alias("mode"),
+    )
+    return known.select("page", "arm", code.alias("exit_code"), F.when(code == 0, row).alias("row"))
+
+
+def arm_rows(judged: DataFrame) -> DataFrame:
+    """The log rows of timed_arms."""
+    return judged.where("row is not null").select("page", "row.*", F.lit(1).alias("instances"), F.lit(None).cast("int").alias("line"), F.lit("").alias("reason"))

@@ -93,7 +93,17 @@ def ascii_charset(spark, sf_dir):
     return own.select("doc_id", F.size("cs").alias("n"), F.array_join("cs", "").alias("charset"))
 
 
-@query()
+def _names_sql(blocks=((0xA0, 0x24F), (0x2010, 0x206F), (0x20A0, 0x20BF), (0x2100, 0x214F))) -> str:
+    """Names of the characters of some blocks as SQL values, by rule."""
+    import unicodedata
+
+    return ", ".join(f"({c}, '{n}')" for a, b in blocks for c in range(a, b + 1) if (n := unicodedata.name(chr(c), "")))
+
+
+@query(f"""
+WITH n(code, name) AS (VALUES {_names_sql()}),
+c AS (SELECT unicode(ch) AS code, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[\\x00-\\x7f]+', '', 'g'), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY unicode(ch))
+SELECT c.code, coalesce(n.name, 'unnamed') AS name, c.n FROM c LEFT JOIN n USING (code)""")
 def ascii_named(spark, sf_dir):
     """Characters beyond ASCII with their Unicode names and how often they come."""
     codes = read(spark, sf_dir, "documents").select(F.explode(text.characters(F.regexp_replace("text", r"[\x00-\x7f]+", ""))).alias("c")).groupBy(F.ascii("c").alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -461,6 +471,30 @@ def findings(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select(e.alias("ordinal"), F.col("user_id").alias("page"), F.lit("ascii").alias("gate"), F.concat(F.lit("d"), (e % 25).cast("string")).alias("detail"), F.nullif(e % 10, F.lit(0).cast("long")).alias("line"))
 
 
+_ARMS_SQL = """(SELECT event_id, user_id AS page, CASE WHEN event_id % 3 = 0 THEN 'transcribe' ELSE 'fix' END AS arm, CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'page ' || user_id ELSE 'typed ' || event_id END AS text,
+    value::DOUBLE AS seconds, event_id % 11 = 0 AS reported, event_id % 2 = 1 AS correct, CASE WHEN event_id % 5 = 0 THEN 'pdf paper' ELSE 'source' END AS mode, CASE WHEN event_id % 10 = 0 THEN 'out.pdf' END AS typeset FROM events)"""
+
+
+@query(f"""
+WITH a AS (SELECT *, 'page ' || page AS was FROM {_ARMS_SQL}),
+seen AS (SELECT user_id AS page, bool_or(event_id % 7 <> 6) AS other, bool_or(event_id % 7 = 6) AS base FROM events WHERE event_id % 97 = 0 GROUP BY user_id),
+j AS (SELECT a.*, coalesce(other, false) AS other, coalesce(base, false) AS base, arm = 'fix' AND NOT reported AND mode <> 'pdf paper' AND text = was AS same FROM a LEFT JOIN seen USING (page)),
+k AS (SELECT *, CASE WHEN (arm = 'fix' AND (base OR (mode = 'pdf paper' AND NOT reported AND typeset IS NULL))) OR (arm <> 'fix' AND other) THEN 2 WHEN (arm <> 'fix' AND trim(text) = '') OR (same AND NOT correct) THEN 1 ELSE 0 END AS code FROM j)
+SELECT page, arm, code::INT AS exit_code, CASE WHEN code = 0 THEN CASE WHEN arm <> 'fix' THEN 'transcribed' WHEN same THEN 'keep-reviewed' ELSE 'edited' END END AS verdict,
+    CASE WHEN code = 0 THEN CASE WHEN arm <> 'fix' THEN text WHEN reported THEN '' WHEN mode = 'pdf paper' THEN typeset ELSE text END END AS after,
+    CASE WHEN code = 0 THEN CASE WHEN arm <> 'fix' THEN {q(corrections.FROM_BLANK)} WHEN reported THEN {q(corrections.SELF_REPORTED)} WHEN mode = 'pdf paper' THEN {q(corrections.ANNOTATED)} ELSE {q(corrections.CORRECTED)} END END AS finding
+FROM k""")
+def timed_arms(spark, sf_dir):
+    """Attempts at typing pages from blank and at correcting them, made of events; every 97th event is a decision made before."""
+    attempts = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("page"), F.expr("CASE WHEN event_id % 3 = 0 THEN 'transcribe' ELSE 'fix' END").alias("arm"), F.expr("CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'page ' || user_id ELSE 'typed ' || event_id END").alias("text"),
+        F.col("value").cast("double").alias("seconds"), F.expr("event_id % 11 = 0").alias("reported"), F.expr("event_id % 2 = 1").alias("correct"), F.expr("CASE WHEN event_id % 5 = 0 THEN 'pdf paper' ELSE 'source' END").alias("mode"), F.expr("CASE WHEN event_id % 10 = 0 THEN 'out.pdf' END").alias("typeset"), F.lit("").alias("source_image"),
+    )
+    emitted = read(spark, sf_dir, "events").select(F.col("user_id").alias("page")).distinct().withColumn("text", F.concat(F.lit("page "), F.col("page").cast("string")))
+    judged = corrections.timed_arms(attempts, log(spark, sf_dir).where("event_id % 97 = 0"), emitted)
+    return judged.select("page", "arm", "exit_code", "row.verdict", "row.after", "row.finding")
+
+
 @query(f"""
 SELECT count(*) AS rows, sum(instances)::BIGINT AS findings_covered, count(*) FILTER (verdict IN ('edited', 'cropped', 'keep-reviewed')) AS gold_pairs, count(*) FILTER (verdict IN ('keep-unreviewed', 'skipped')) AS unexamined,
     round_even(sum(seconds::DECIMAL(18, 6)), 1)::DOUBLE AS total_seconds, count(DISTINCT page) AS pages_touched, string_agg(DISTINCT mode, ',' ORDER BY mode) FILTER (mode <> '') AS modes FROM {_LOG_SQL}""")
@@ -781,10 +815,10 @@ def stream_convert(spark, sf_dir):
 
     from quillspark.functions.workers import shared_folder
     from quillspark.operators.manifest import OUTCOME
-    from quillspark.streaming.convert import read_pages, run_stream
+    from quillspark.streaming.convert import read_pages, run_stream, stream_outcomes
 
     at = f"{shared_folder(spark)}/quillspark/stream-{uuid.uuid4().hex}"
     _recognised(spark, sf_dir).repartition(2).write.parquet(f"{at}/in")
     run_stream(read_pages(spark, f"{at}/in", 2), convert_plan.emit, f"{at}/manifest", f"{at}/checkpoint")
-    rows = spark.read.schema(OUTCOME).json(f"{at}/manifest")
-    return rows.select("page", "output", "verdict", "error", "rules", F.size("findings").alias("findings"))
+    rows = spark.read.schema(OUTCOME).json(f"{at}/manifest").select("page", "output", "verdict", "error", "rules", "findings")
+    return rows.join(stream_outcomes(spark, f"{at}/manifest").select("page", F.md5("text").alias("digest")), "page").select("page", "output", "verdict", "error", "rules", F.size("findings").alias("findings"), "digest")

@@ -6,13 +6,19 @@ import json
 import re
 import shutil
 import subprocess
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillspark.functions.workers import importable
 from quillspark.operators.manifest import OUTCOME, output_name
 
 CORRECTION = "page INT, verdict STRING, source_image STRING, before STRING, after STRING, reason STRING, seconds DOUBLE, finding STRING, instances INT, mode STRING, line INT, at DOUBLE"
@@ -26,7 +32,8 @@ _FIELDS = [f.split()[0] for f in CORRECTION.split(", ")]
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Outcomes as they were written; blank lines are skipped, a malformed line fails the read."""
-    return spark.read.schema(OUTCOME).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(OUTCOME).option("mode", "FAILFAST").json(path)
+    return rows.select(*(f.split(" ", 1)[0] for f in re.split(r", (?![^<]*>)", OUTCOME)))  # a stream's manifest has its batches as folders
 
 
 def write_manifest(outcomes: DataFrame, path: str) -> None:
@@ -34,13 +41,18 @@ def write_manifest(outcomes: DataFrame, path: str) -> None:
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
-    """The log with its defaults; a row that isn't JSON or has a field of another name fails the read, since a record that loses rows is none."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
+    """The log with its defaults; a row that isn't JSON or has a field of another name fails the read by its file and line, since a record that loses rows is none."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    raw = files.where(F.trim("value") != "")
     kind = "struct<" + ", ".join(f.replace(" ", ":", 1) for f in CORRECTION.split(", ")) + ">"
-    parsed = F.from_json("value", kind, {"mode": "FAILFAST"})
-    strange = F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, _FIELDS)))
-    checked = F.when(strange.isNull(), F.raise_error(F.concat(F.lit("not a correction row: "), F.substring("value", 1, 200)))).when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown fields "), F.array_join(strange, ", ")))).otherwise(parsed)
-    rows = raw.select(checked.alias("r")).select("r.*")
+    parsed = F.from_json("value", kind, {"mode": "PERMISSIVE"})
+    names = F.json_object_keys("value")
+    strange = F.array_except(names, F.array(*map(F.lit, _FIELDS)))
+    where = F.concat("file", F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(": "))
+    # a value of the wrong type is null where the line has one
+    lost = F.filter(F.array(*(F.when(parsed[f].isNull() & F.get_json_object("value", f"$.{f}").isNotNull(), F.lit(f)) for f in _FIELDS)), lambda f: f.isNotNull())
+    why = F.when(F.trim("value") == "", None).when(strange.isNull(), F.concat(F.lit("not a correction row: "), F.substring("value", 1, 200))).when(F.size(strange) > 0, F.concat(F.lit("unknown fields "), F.array_join(strange, ", "))).when(F.size(lost) > 0, F.concat(F.lit("wrong values of "), F.array_join(lost, ", ")))
+    rows = raw.select(F.when(why.isNotNull(), F.raise_error(F.concat(where, why))).otherwise(parsed).alias("r")).select("r.*")
     return rows.select(*(F.coalesce(c, F.lit(_DEFAULTS[c])).alias(c) if c in _DEFAULTS else F.col(c) for c in _FIELDS))
 
 
@@ -54,6 +66,79 @@ def write_pages(outcomes: DataFrame, folder: str) -> None:
     named.write.mode("append").partitionBy("quarantine").option("compression", "none").parquet(folder)
 
 
+def write_tex(outcomes: DataFrame, folder: str) -> int:
+    """(page, verdict, text) as files that a build can read, page-0001.tex in folder and failing ones as page-0001.fail.tex; the number of files.
+
+    Tasks write by pyarrow's file systems, each file under a passing name first and then renamed, so a task that runs again leaves whole files.
+    """
+
+    def write(batches):
+        fs, root = pa_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                passing = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(passing) as out:
+                    out.write((text or "").encode())
+                fs.move(passing, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    importable()
+    named = outcomes.where("text is not null").select(output_name(F.col("page"), F.col("verdict")).alias("name"), "text")
+    return named.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def run_engine(pages: DataFrame, engine: str = "pdflatex", timeout: int = 120, run: Callable = subprocess.run) -> DataFrame:
+    """(page, log, exit_code) of building each page's text by an engine where tasks run; without the engine the exit code is null, which is unchecked. A build that takes too long failed."""
+
+    def build(text: str) -> tuple[str, int | None]:
+        if run is subprocess.run and shutil.which(engine) is None:
+            return "", None
+        with tempfile.TemporaryDirectory() as own:
+            (Path(own) / "page.tex").write_text(text, encoding="utf-8")
+            try:
+                done = run([engine, "-interaction=nonstopmode", "-halt-on-error", "page.tex"], cwd=own, capture_output=True, timeout=timeout, check=False)
+            except subprocess.TimeoutExpired:
+                return f"! the engine took more than {timeout} s\n", 1
+            return done.stdout.decode("utf-8", "replace"), done.returncode
+
+    def builds(batches):
+        for b in batches:
+            got = [build(t or "") for t in b["text"]]
+            yield pd.DataFrame({"page": b["page"], "log": [x[0] for x in got], "exit_code": pd.array([x[1] for x in got], dtype="Int32")})
+
+    importable()
+    return pages.select("page", "text").mapInPandas(builds, f"page {pages.schema['page'].dataType.simpleString()}, log string, exit_code int")
+
+
+def crop_regions(requests: DataFrame, run: Callable = subprocess.run) -> DataFrame:
+    """(page, path, crop_ok, error) of cutting regions in points out of a document's pages as vector files; the result's box is tightened, with margins of 4, where the program for it is there.
+
+    requests: (page, document, x, y, width, height, path). A region that cannot be cut has its error in a column and the others go on.
+    """
+
+    def cut(r) -> tuple[bool, str | None]:
+        if run is subprocess.run and (missing := missing_tools("pdftocairo")):
+            return False, f"not installed: {', '.join(missing)}"
+        if not (r.width > 0 and r.height > 0):
+            return False, "an empty region"
+        region = ["-x", str(int(r.x)), "-y", str(int(r.y)), "-W", str(int(r.width)), "-H", str(int(r.height)), "-paperw", str(int(r.width)), "-paperh", str(int(r.height))]
+        done = run(["pdftocairo", "-pdf", "-f", str(r.page), "-l", str(r.page), *region, r.document, r.path], capture_output=True, check=False)
+        if done.returncode:
+            return False, done.stderr.decode("utf-8", "replace")[:200]
+        if run is not subprocess.run or shutil.which("pdfcrop"):
+            run(["pdfcrop", "--margins", "4", r.path, r.path], capture_output=True, check=False)  # at best: an untightened crop is a crop
+        return True, None
+
+    def cuts(batches):
+        for b in batches:
+            got = [cut(r) for r in b.itertuples()]
+            yield pd.DataFrame({"page": b["page"], "path": b["path"], "crop_ok": [x[0] for x in got], "error": pd.Series([x[1] for x in got], dtype=object)})
+
+    importable()
+    return requests.mapInPandas(cuts, "page int, path string, crop_ok boolean, error string")
+
+
 def read_sweep(spark: SparkSession, path: str, schema: str = SWEEP) -> DataFrame:
     """Result tables of batch runs: CSV with a header."""
     return spark.read.csv(path, schema=schema, header=True)
@@ -135,7 +220,7 @@ def recognise(pages: DataFrame, model: Callable[[bytes, str], str], prompts: dic
                 if text := _unfenced((model(image, prompt) or "").strip()):
                     return text, None
                 why = "empty reply"
-            except (OSError, TimeoutError) as e:
+            except Exception as e:  # whatever a reply that failed raises, the page is asked again and then has its error
                 why = f"{type(e).__name__}: {e}"
         return None, f"no reply after {attempts} attempts ({why})"
 

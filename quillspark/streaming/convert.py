@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +19,41 @@ def read_pages(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Da
 
 
 def run_stream(pages: DataFrame, emit: Callable[[DataFrame], DataFrame], manifest: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Process what is there and stop. Batches that a restart repeats leave out pages that the manifest has, and pages with an error
-    come again when they are sent again: the checkpoint alone says neither."""
+    """Process what is there and stop. A batch's outcomes, with their text, are a written table of its number before the manifest has them:
+    a batch that a restart repeats replaces its own rows in both. Pages that other batches finished are left out, and pages
+    with an error come again when they are sent again."""
+    table = f"{manifest}-outcomes"
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            before = spark.read.json(manifest, schema="page INT, error STRING")
-            batch = pending(batch, before)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows = outcomes(emit(batch))
-        rows.drop("text").write.mode("append").json(manifest)
+        spark, own = batch.sparkSession, f"{table}/batch={number}"
+        before = written(spark, table)
+        if before is not None:
+            batch = pending(batch, before.where(F.col("batch") != number).select("page", "error"))
+        outcomes(emit(batch)).write.mode("overwrite").parquet(own)
+        done = spark.read.parquet(own)
+        done.drop("text").write.mode("overwrite").json(f"{manifest}/batch={number}")
         if on_batch:
-            on_batch(rows, number)
+            on_batch(done, number)
 
     query = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may not be there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def stream_outcomes(spark: SparkSession, manifest: str) -> DataFrame:
+    """What a stream has written, with the pages' text."""
+    return spark.read.parquet(f"{manifest}-outcomes")
+
+
 def undecided(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """A stream of findings (page, finding, line) without those that a written log has decided: a stream-static anti-join."""
     own = decisions.where("verdict <> 'skipped'").select(F.col("page").alias("p"), F.col("finding").alias("f"), F.col("line").alias("l")).distinct()

@@ -65,9 +65,9 @@ def test_log_reads_strictly(spark, tmp_path):
     write(good, "", {**good, "instances": 3, "line": 2})
     rows = records.read_corrections(spark, path).orderBy("instances").collect()
     assert [(r.instances, r.after, r.line) for r in rows] == [(1, "", None), (3, "", 2)]
-    for bad in ("not json at all", {**good, "strange": 1}):
-        write(good, bad)
-        with pytest.raises(Exception):
+    for bad in ("not json at all", {**good, "strange": 1}, {**good, "page": "one"}):
+        write(good, "", bad)
+        with pytest.raises(Exception, match=r"log\.jsonl:3: "):
             records.read_corrections(spark, path).collect()
 
 
@@ -118,6 +118,8 @@ def test_convert_and_stream(spark, tmp_path):
         streaming.run_stream(streaming.read_pages(spark, f"file://{at}/in"), convert.emit, f"file://{at}/manifest", f"file://{at}/checkpoint")
     rows = records.read_manifest(spark, f"file://{at}/manifest").collect()
     assert sorted(r.page for r in rows) == [1, 2, 2, 3, 4]  # the page without a reply was tried again
+    texts = {r.page: r.text for r in streaming.stream_outcomes(spark, f"file://{at}/manifest").collect()}
+    assert texts[1].endswith("fine") and texts[2] is None and len(texts) == 4
     latest = manifest.latest(spark.createDataFrame([(1, 0, "a"), (1, 5, "b"), (2, 1, "c")], "page int, ordinal int, verdict string"))
     assert {r.page: r.verdict for r in latest.collect()} == {1: "b", 2: "c"}
 
@@ -138,16 +140,76 @@ def test_routed_pages_and_csv(spark, tmp_path):
     assert records.read_sweep(spark, f"{at}/sweep").first().undefined == "a b"
 
 
+def test_tex_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "pass", "a é"), (2, "fail", "b"), (3, "unverified", "c"), (4, "fail", None)], "page int, verdict string, text string")
+    assert records.write_tex(rows.repartition(2), f"file://{tmp_path}/out") == 3 == records.write_tex(rows, f"{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["page-0001.tex", "page-0002.fail.tex", "page-0003.tex"]
+    assert (tmp_path / "out" / "page-0001.tex").read_text(encoding="utf-8") == "a é"
+
+
+def test_engine(spark):
+    import subprocess
+
+    def run(command, **_):
+        text = open(f"{_['cwd']}/page.tex").read()
+        if text == "slow":
+            raise subprocess.TimeoutExpired(command, 1)
+        return subprocess.CompletedProcess(command, int(text == "bad"), b"! Oops\nl.3 here\n" if text == "bad" else b"fine")
+
+    from quillspark.functions import verdicts
+    from quillspark.operators import gates
+
+    pages = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "slow")], "page int, text string")
+    state = verdicts.state(gates.compile_gate(F.col("log"), F.col("exit_code")))
+    got = {r.page: (r.state, r.exit_code) for r in records.run_engine(pages, run=run).select("page", "exit_code", state.alias("state")).collect()}
+    assert got == {1: ("pass", 0), 2: ("fail", 1), 3: ("fail", 1)}
+    none = records.run_engine(pages, engine="no-such-engine").select("exit_code", state.alias("state")).collect()
+    assert all(r.exit_code is None and r.state == "skipped" for r in none)
+
+
+def test_crops(spark, tmp_path):
+    import subprocess
+
+    def run(command, **_):
+        open(f"{tmp_path}/said", "a").write(" ".join(map(str, command)) + "\n")
+        return subprocess.CompletedProcess(command, int("bad.pdf" in command), b"", b"no such page")
+
+    requests = spark.createDataFrame([(4, "d.pdf", 1.5, 2.0, 30.0, 40.0, "o.pdf"), (5, "bad.pdf", 0.0, 0.0, 1.0, 1.0, "p.pdf"), (6, "d.pdf", 0.0, 0.0, 0.0, 1.0, "q.pdf")], "page int, document string, x double, y double, width double, height double, path string")
+    got = {r.page: (r.crop_ok, r.error) for r in records.crop_regions(requests.coalesce(1), run=run).collect()}
+    assert got == {4: (True, None), 5: (False, "no such page"), 6: (False, "an empty region")}
+    said = open(f"{tmp_path}/said").read().splitlines()
+    assert said[0].startswith("pdftocairo -pdf -f 4 -l 4 -x 1 -y 2 -W 30 -H 40") and said[1] == "pdfcrop --margins 4 o.pdf o.pdf" and len(said) == 3
+
+
+def test_timed_arms(spark):
+    log = spark.createDataFrame([(1, "edited"), (2, "transcribed")], "page int, verdict string")
+    emitted = spark.createDataFrame([(p, f"text {p}") for p in (1, 2, 3)], "page int, text string")
+    rows = [(1, "transcribe", "typed", 3.0, None, None, None), (2, "fix", "new", 3.0, None, None, None), (3, "transcribe", " \n", 9.0, None, None, None), (3, "transcribe", "typed", 9.005, None, None, None), (3, "fix", "text 3", 2.0, None, None, None), (3, "fix", "text 3", 2.0, None, True, None), (4, "fix", "x", 1.0, None, None, None), (3, "fix", "", 480.0, True, None, None)]
+    attempts = spark.createDataFrame(rows, "page int, arm string, text string, seconds double, reported boolean, correct boolean, typeset string").withColumns({"mode": F.lit("paper"), "source_image": F.lit(None).cast("string")})
+    judged = corrections.timed_arms(attempts, log, emitted)
+    got = [(r.page, r.arm, r.exit_code, r.row and r.row.verdict) for r in judged.collect()]
+    want = [(1, "transcribe", 2, None, None), (2, "fix", 2, None, None), (3, "transcribe", 1, None, None), (3, "transcribe", 0, "transcribed", 9.0), (3, "fix", 1, None, None), (3, "fix", 0, "keep-reviewed", 2.0), (4, "fix", 2, None, None), (3, "fix", 0, "edited", 480.0)]
+    assert sorted(map(repr, (x[:4] for x in got))) == sorted(map(repr, (x[:4] for x in want)))
+    (r,) = corrections.arm_rows(judged).where("seconds = 480").collect()
+    assert "self-reported" in r.finding and r.mode == "paper" and r.before == "text 3" and r.after == ""
+    pdf = attempts.where("page = 3 and seconds = 480").withColumns({"mode": F.lit("pdf tablet"), "reported": F.lit(False)})
+    assert [r.exit_code for r in corrections.timed_arms(pdf, log, emitted).collect()] == [2]
+    (r,) = corrections.arm_rows(corrections.timed_arms(pdf.withColumn("typeset", F.lit("p.pdf")), log, emitted)).collect()
+    assert r.after == "p.pdf" and "annotating" in r.finding
+
+
 def test_recogniser_port(spark):
     def model(image, prompt):
         if image == b"dead":
             raise TimeoutError
+        if image == b"garbled":
+            json.loads("<html>")
         return "" if image == b"blank" else f"```latex\n{prompt} {image.decode()}\n```"
 
-    pages = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"blank")), (3, bytearray(b"dead"))], "page int, image binary")
+    pages = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"blank")), (3, bytearray(b"dead")), (4, bytearray(b"garbled"))], "page int, image binary")
     rows = {r.page: r for r in records.recognise(pages, model, {"transcribe": "T", "inventory": "I"}).collect()}
     assert (rows[1].markup, rows[1].inventory_raw, rows[1].error) == ("T ok", "I ok", None)
-    assert "3 attempts" in rows[2].error and rows[2].inventory_raw is None and "TimeoutError" in rows[3].error
+    assert "3 attempts" in rows[2].error and rows[2].inventory_raw is None and "TimeoutError" in rows[3].error and "JSONDecodeError" in rows[4].error
     with pytest.raises(ValueError):
         records.http_model("http://x", scalars.REFUSED_ALIASES[0])
 
