@@ -46,21 +46,21 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        #: beginnings of tokens, and whether they are tokens
-        self.starts = {t[:n]: False for t in ranks for n in range(1, len(t))} | dict.fromkeys(ranks, True)
+        #: beginnings of tokens, and the token that they are; states and pairs hold this one object of a token
+        self.starts = {t[:n]: None for t in ranks for n in range(1, len(t))} | {t: t for t in ranks}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self._names: dict[tuple[bytes, tuple], dict] = {}
+        self._names: dict[tuple[bytes, tuple, bytes], dict] = {}
         self._begin = self._state(b"", (), b"")
 
     def _state(self, text: bytes, places: tuple, last: bytes) -> dict:
         """The state's transitions by byte; at -1 what makes it. text: from the first live place on; places: (live place, last token before it)."""
-        name = (text, (*places, last))
+        name = (text, places, last)
         if (known := self._names.get(name)) is None:
-            known = self._names[name] = {-1: (text, places, last)}
+            known = self._names[name] = {-1: name}
         return known
 
     def merge(self, data: bytes, until: int = 1) -> list[bytes]:
@@ -111,11 +111,11 @@ class Transducer:
         for place in (*places, (len(text) - 1, last)):
             i, before = place
             piece = text[i:] if i else text
-            whole = self.starts.get(piece)
-            if whole is not None:
+            whole = self.starts.get(piece, b"")
+            if whole != b"":
                 live.append(place)
-                if whole and token is None and self._compatible(before, piece):
-                    token = piece
+                if whole and token is None and self._compatible(before, whole):
+                    token = whole
         if token is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
         if live and (cut := live[0][0]):
