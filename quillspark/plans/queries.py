@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import scalars, text, verdicts
 from quillspark.operators import corrections, declarations, dims, gates, ink, inventory, manifest, normalize
 from quillspark.plans import convert as convert_plan
+from quillspark.plans import walk_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -127,9 +128,10 @@ def document_verdicts(spark, sf_dir):
 _TOKENS = r"\\\\[$%]?|\\[$%&#_{}]|%[^\n]*|\\begin\{[^}]*\}|\\end\{[^}]*\}|\\\(|\\\)|\\\[|\\\]|\$\$|\$"
 
 
-@query(rf"""
-WITH m AS (SELECT doc_id, {MARKUP} AS t FROM documents),
-tok AS (SELECT doc_id, regexp_extract_all(t, '{_TOKENS}') AS toks, string_split_regex(t, '{_TOKENS}') AS gaps FROM m),
+def _delimiters_sql(source: str) -> str:
+    """Common table expressions that end in every (doc_id, f): delimiters of the table source (doc_id, t) that don't fit."""
+    return rf"""
+tok AS (SELECT doc_id, regexp_extract_all(t, '{_TOKENS}') AS toks, string_split_regex(t, '{_TOKENS}') AS gaps FROM {source}),
 lined AS (
     SELECT doc_id, list_transform(range(1, len(toks) + 1), lambda i: {{'token': toks[i], 'line': (1
         + coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g) - length(replace(g, chr(10), '')))), 0)
@@ -154,7 +156,11 @@ folded AS (
     FROM kinds),
 every AS (
     SELECT doc_id, unnest(list_concat(r.bad, list_transform(r.stack, lambda s: {{'line': s.line,
-        'detail': CASE WHEN s.kind LIKE 'env:%' THEN 'environment' ELSE 'math mode' END || ' opened by ''' || s.shown || ''' is never closed'}}))) AS f FROM folded)
+        'detail': CASE WHEN s.kind LIKE 'env:%' THEN 'environment' ELSE 'math mode' END || ' opened by ''' || s.shown || ''' is never closed'}}))) AS f FROM folded)"""
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, {MARKUP} AS t FROM documents), {_delimiters_sql("m")}
 SELECT doc_id, f.line AS line, f.detail AS detail FROM every""")
 def delimiter_findings(spark, sf_dir):
     return marked(spark, sf_dir).select("doc_id", F.explode(gates.delimiter_findings(F.col("t"))).alias("f")).select("doc_id", "f.line", "f.detail")
@@ -350,7 +356,20 @@ def unresolved_graphics(spark, sf_dir):
     return normalize.unresolved_graphics(marked(spark, sf_dir), assets, "doc_id", "t")
 
 
-@query()
+def _normalized_sql() -> str:
+    repairs = " ".join(f"WHEN n = {q(k)} THEN {q(v)}" for k, v in declarations.REPAIRS.items())
+    return rf"""
+WITH m AS (SELECT doc_id, {MARKUP} AS t FROM documents), {walk_sql.walked("m", _strip_envs_sql(), _ENVS)},
+body AS (SELECT doc_id, n + 1 AS n, regexp_replace(split_part(CASE WHEN contains(s, '\begin{{document}}') THEN substr(s, position('\begin{{document}}' IN s) + 16) ELSE s END, '\end{{document}}', 1), '^\s+|\s+$', '', 'g') AS t FROM walked),
+u AS (SELECT doc_id, n, t, {_UNDEFINED} AS u, list_sort(list_distinct(regexp_extract_all(t, '[^\x00-\x7f]'))) AS beyond FROM body)
+SELECT doc_id, (n + (len(u) > 0)::INT)::INT AS rules, md5({q(normalize.PREAMBLE)}
+    || array_to_string(list_transform(u, lambda n: '\ifdefined\' || n || '\else' || CASE {repairs} WHEN regexp_matches(t, '\\' || n || '\s*[\[{{]') THEN '\providecommand{{\' || n || '}}[1]{{#1}}'
+        WHEN regexp_matches(n, '^[a-z]{{2,6}}$') THEN '\DeclareMathOperator{{\' || n || '}}{{' || n || '}}' ELSE '\providecommand{{\' || n || '}}{{}}' END || '\fi  % TODO' || chr(10)), '')
+    || array_to_string(list_transform(beyond, lambda c: '\DeclareUnicodeCharacter{{' || printf('%04X', unicode(c)) || '}}{{\ensuremath{{\bullet}}}}  % TODO' || chr(10)), '')
+    || '\begin{{document}}' || chr(10) || t || chr(10) || '\end{{document}}' || chr(10)) AS digest, array_to_string(u, ',') AS undefined FROM u"""
+
+
+@query(_normalized_sql())
 def normalize_pages(spark, sf_dir):
     """All rules on every document's markup."""
     n = marked(spark, sf_dir).select("doc_id", normalize.normalize_column(True)("t").alias("n"))
@@ -801,14 +820,36 @@ def _recognised(spark, sf_dir) -> DataFrame:
     return marked(spark, sf_dir).select(F.col("doc_id").cast("int").alias("page"), F.when(error.isNull(), F.col("t")).alias("markup"), raw.alias("inventory_raw"), error.alias("error"))
 
 
-@query()
+_CONVERTED = rf"""
+WITH m AS (SELECT doc_id, {MARKUP} AS t FROM documents WHERE doc_id % 17 <> 0), {walk_sql.walked("m", _strip_envs_sql(), _ENVS)},
+texts AS (
+    SELECT doc_id, n + (len({_UNDEFINED.replace("(t,", "(s,")}) > 0)::INT AS rules, (doc_id % 3 = 0)::INT AS wanted, '% quillspark page ' || doc_id || chr(10) || '% recognizer: local/unknown' || chr(10)
+        || '% marks inventoried: ' || (doc_id % 3 = 0)::INT || chr(10) || '% NOT CHECKED: whether this says what the page says; gates show that it builds' || chr(10) || s AS t FROM walked),
+{_delimiters_sql("texts")},
+stray AS (SELECT doc_id, count(*) AS d FROM every GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, rules, t, coalesce(d, 0) AS d, wanted, CASE WHEN regexp_matches(t, '{gates.UNICODE_PREAMBLE}') THEN 0 ELSE length(regexp_replace(regexp_replace(t, '{text.LINE_END}', '', 'g'), '[\x00-\x7f]', '', 'g')) END AS a,
+        len(regexp_extract_all(t, '(?s)\[TODO fabricated:\s*(.*?)\]')) AS fab, len(regexp_extract_all(t, '(?s)\[\[DIAGRAM:.*?\]\]|\[TODO diagram:.*?\]')) AS found
+    FROM texts LEFT JOIN stray USING (doc_id)),
+judged AS (SELECT *, fab + CASE WHEN wanted > found THEN 2 ELSE 0 END AS c FROM counted),
+done AS (
+    SELECT d.doc_id::INT AS page, CASE WHEN d.doc_id % 17 = 0 THEN 'no reply' END AS error, CASE WHEN d.doc_id % 17 = 0 OR j.a + j.d + j.c > 0 THEN 'fail' ELSE 'unverified' END AS verdict,
+        CASE WHEN d.doc_id % 17 <> 0 THEN 'page-' || printf('%04d', d.doc_id) || CASE WHEN j.a + j.d + j.c > 0 THEN '.fail.tex' ELSE '.tex' END END AS output,
+        CASE WHEN d.doc_id % 17 = 0 THEN '{{}}' ELSE '{{"ascii":"' || CASE WHEN j.a > 0 THEN 'fail' ELSE 'pass' END || '","delimiters":"' || CASE WHEN j.d > 0 THEN 'fail' ELSE 'pass' END || '","compile":"skipped","coverage":"'
+            || CASE WHEN j.c > 0 THEN 'fail' WHEN d.doc_id % 3 = 2 THEN 'skipped' ELSE 'pass' END || '","colour":"skipped"}}' END AS gates,
+        coalesce(j.rules, 0)::INT AS rules, coalesce(j.a + j.d + j.c, 0)::INT AS findings, md5(j.t) AS digest
+    FROM documents d LEFT JOIN judged j USING (doc_id))
+"""
+
+
+@query(_CONVERTED + "SELECT page, output, verdict, gates, error, rules, findings FROM done")
 def convert_pages(spark, sf_dir):
     """Markup and inventories to outcomes, every gate and rule on the way."""
     done = convert_plan.convert(_recognised(spark, sf_dir))
     return done.select("page", "output", "verdict", F.to_json("gates").alias("gates"), "error", "rules", F.size("findings").alias("findings"))
 
 
-@query()
+@query(_CONVERTED + "SELECT page, output, verdict, error, rules, findings, digest FROM done")
 def stream_convert(spark, sf_dir):
     """The same as a stream of files that stops when it has read what is there; what it wrote is read again."""
     import uuid
