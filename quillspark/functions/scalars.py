@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import half_even, strip
+from quillspark.functions.text import filled, half_even, strip
 
 # Model names that stand for a reasoning checkpoint and are refused; patterns and limits of the experiments.
 REFUSED_ALIASES = ["qwen3-vl", "qwen3-vl:2b", "qwen3-vl:4b", "qwen3-vl:8b", "qwen3-vl:30b", "qwen3-vl:32b", "qwen3-vl:235b"]
@@ -109,5 +109,5 @@ def outcome_line(page: Column, verdict: Column, gates: Column, error: Column) ->
     """A page a line: number, label, gates; an error instead where there is one. gates: a map."""
     label = F.when(verdict == "pass", "ok  ").when(verdict == "unverified", "?   ").otherwise("FAIL")
     marks = F.array_join(F.transform(F.map_entries(gates), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "  ")
-    number = F.concat(F.lit("page "), F.lpad(page.cast("string"), 4, " "))
+    number = F.concat(F.lit("page "), filled(page.cast("string"), 4, " "))
     return F.when(error.isNotNull(), F.concat(number, F.lit("  ERROR  "), error)).otherwise(F.concat(number, F.lit("  "), label, F.lit("  "), marks))

@@ -31,9 +31,14 @@ def non_ascii(text: Column) -> Column:
     return F.transform(F.array_sort(F.transform(found, lambda c: F.struct(F.ascii(c).alias("code"), c.alias("c")))), lambda x: x["c"])
 
 
+def filled(text: Column, width: int, fill: str) -> Column:
+    """At least width characters, filled from the left; a longer text stays whole, where lpad would cut it."""
+    return F.when(F.length(text) < width, F.lpad(text, width, fill)).otherwise(text)
+
+
 def code_name(char: Column) -> Column:
     """U+ and at least four hexadecimal digits."""
-    return F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(char)), 4, "0"))
+    return F.concat(F.lit("U+"), filled(F.hex(F.ascii(char)), 4, "0"))
 
 
 def excerpt(text: Column, n: int = EXCERPT) -> Column:

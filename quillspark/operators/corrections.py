@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import half_even, lines, strip
+from quillspark.functions.text import filled, half_even, lines, strip
 
 # Decisions that judge the output, the control arm, and decisions that verify nothing.
 GOLD = ["edited", "cropped", "keep-reviewed"]
@@ -104,7 +104,7 @@ def refusals(log: DataFrame) -> DataFrame:
 def finding_context(findings: DataFrame, texts: DataFrame, radius: int = 2, width: int = 90) -> DataFrame:
     """Findings with the lines around them: numbered, cut to width, the line itself marked. texts: (page, text); findings without a line have an empty context."""
     near = F.filter(F.transform(lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda r: F.abs(r["n"] - F.col("line")) <= radius)
-    shown = F.transform(near, lambda r: F.concat(F.when(r["n"] == F.col("line"), "  >> ").otherwise("     "), F.lpad(r["n"].cast("string"), 4, " "), F.lit(" | "), F.substring(r["x"], 1, width)))
+    shown = F.transform(near, lambda r: F.concat(F.when(r["n"] == F.col("line"), "  >> ").otherwise("     "), filled(r["n"].cast("string"), 4, " "), F.lit(" | "), F.substring(r["x"], 1, width)))
     joined = findings.join(texts, "page", "left")
     return joined.withColumn("context", F.when(F.col("line") > 0, F.coalesce(F.array_join(shown, "\n"), F.lit(""))).otherwise("")).drop("text")
 

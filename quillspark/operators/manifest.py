@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import filled
 from quillspark.operators.normalize import PREAMBLE
 
 OUTCOME = "page INT, output STRING, verdict STRING, gates MAP<STRING,STRING>, error STRING, rules INT, findings ARRAY<STRUCT<gate:STRING,detail:STRING,line:INT,excerpt:STRING>>, source STRING"
@@ -40,7 +41,7 @@ def needs_review(outcomes: DataFrame, page: int | None = None, everything: bool
 
 def output_name(page: Column, verdict: Column) -> Column:
     """The page's file; failing pages get a name that a build doesn't take up."""
-    return F.concat(F.lit("page-"), F.lpad(page.cast("string"), 4, "0"), F.when(verdict == "fail", ".fail.tex").otherwise(".tex"))
+    return F.concat(F.lit("page-"), filled(page.cast("string"), 4, "0"), F.when(verdict == "fail", ".fail.tex").otherwise(".tex"))
 
 
 def is_standalone(text: Column) -> Column:
@@ -49,7 +50,7 @@ def is_standalone(text: Column) -> Column:
 
 def page_entry(page: Column, output: Column, verdict: Column, gates: Column, text: Column) -> Column:
     """What the assembled document says of a page: its inclusion, or a placeholder where it failed or can't be included."""
-    name = F.coalesce(F.substring_index(output, "/", -1), F.concat(F.lit("page-"), F.lpad(page.cast("string"), 4, "0")))
+    name = F.coalesce(F.substring_index(output, "/", -1), F.concat(F.lit("page-"), filled(page.cast("string"), 4, "0")))
     bad = F.array_join(F.transform(F.filter(F.map_entries(gates), lambda e: e["value"] == "fail"), lambda e: e["key"]), ", ")
     bad = F.coalesce(F.nullif(bad, F.lit("")), F.lit("a gate"))
     box = lambda *parts: F.concat(F.lit("\\begin{center}\\fbox{\\texttt{[PAGE "), page.cast("string"), *parts, F.lit("]}}\\end{center}\n"))

@@ -588,7 +588,7 @@ def mode_refusals(spark, sf_dir):
 
 @query(f"""
 SELECT doc_id AS page, doc_id % 7 AS line, coalesce(CASE WHEN doc_id % 7 > 0 THEN array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: abs(i - doc_id % 7) <= 2), lambda i:
-    CASE WHEN i = doc_id % 7 THEN '  >> ' ELSE '     ' END || lpad(i::VARCHAR, 4, ' ') || ' | ' || substr(ls[i], 1, 90)), chr(10)) END, '') AS context FROM (SELECT doc_id, {lines_sql("text")} AS ls FROM documents)""")
+    CASE WHEN i = doc_id % 7 THEN '  >> ' ELSE '     ' END || printf('%4d', i) || ' | ' || substr(ls[i], 1, 90)), chr(10)) END, '') AS context FROM (SELECT doc_id, {lines_sql("text")} AS ls FROM documents)""")
 def finding_contexts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
     return corrections.finding_context(docs.select("page", (F.col("page") % 7).alias("line")), docs)
@@ -646,7 +646,7 @@ def run_counters(spark, sf_dir):
 
 
 @query(f"""
-SELECT page, 'page ' || CASE WHEN length(page::VARCHAR) < 4 THEN lpad(page::VARCHAR, 4, ' ') ELSE left(page::VARCHAR, 4) END || '  ' || CASE WHEN error IS NOT NULL THEN 'ERROR  ' || error
+SELECT page, 'page ' || printf('%4d', page) || '  ' || CASE WHEN error IS NOT NULL THEN 'ERROR  ' || error
     ELSE CASE verdict WHEN 'pass' THEN 'ok  ' WHEN 'unverified' THEN '?   ' ELSE 'FAIL' END || '  ascii=' || a || '  delimiters=' || d END AS line FROM {_OUTCOMES_SQL}""")
 def outcome_lines(spark, sf_dir):
     return outcomes(spark, sf_dir).select("page", scalars.outcome_line(F.col("page"), F.col("verdict"), F.col("gates"), F.col("error")).alias("line"))
@@ -658,7 +658,7 @@ _ENTRY_SQL = r"""CASE WHEN verdict = 'fail' OR output IS NULL THEN '% ' || name
 
 
 @query(rf"""
-WITH o AS (SELECT *, coalesce(split_part(output, '/', -1), 'page-' || lpad(page::VARCHAR, 4, '0')) AS name, coalesce(nullif(concat_ws(', ', CASE WHEN a = 'fail' THEN 'ascii' END, CASE WHEN d = 'fail' THEN 'delimiters' END), ''), 'a gate') AS bad FROM {_OUTCOMES_SQL}),
+WITH o AS (SELECT *, coalesce(split_part(output, '/', -1), 'page-' || printf('%04d', page)) AS name, coalesce(nullif(concat_ws(', ', CASE WHEN a = 'fail' THEN 'ascii' END, CASE WHEN d = 'fail' THEN 'delimiters' END), ''), 'a gate') AS bad FROM {_OUTCOMES_SQL}),
 e AS (SELECT run, page, {_ENTRY_SQL} AS entry, verdict <> 'fail' AND output IS NOT NULL AND NOT alone AS usable FROM o)
 SELECT run, count(*)::INT AS pages, count(*) FILTER (usable) AS usable, md5({q(normalize.PREAMBLE + "% pages that failed a gate stand here as placeholders" + chr(10) + "\\begin{document}" + chr(10))} || string_agg(entry, chr(10) ORDER BY page)
     || CASE WHEN count(*) FILTER (usable) = 0 THEN {q(chr(10) + "% no page passed its gates" + chr(10) + "\\begin{center}\\texttt{[no page passed: nothing to assemble]}\\end{center}" + chr(10))} ELSE '' END || '\end{{document}}' || chr(10)) AS digest FROM e GROUP BY run""")

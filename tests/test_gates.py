@@ -144,3 +144,18 @@ def test_verdicts(spark):
     assert "unverified: c" in case(ok, not_run).r and "line 3: x" in case(bad).r and not case(ok).r.endswith("PASS")
     empty = F.array().cast(f"array<{verdicts.GATE}>")
     assert spark.range(1).select(verdicts.verdict(empty).alias("v")).first().v == "pass"
+
+
+def test_numbers_wider_than_their_field(spark):
+    """Five-digit pages and characters beyond the basic plane keep all their digits."""
+    from quillspark.functions import scalars, text
+    from quillspark.operators import manifest
+
+    row = spark.createDataFrame([(7, "é"), (12345, "😀")], "page int, c string").select(
+        manifest.output_name(F.col("page"), F.lit("fail")).alias("name"), text.code_name(F.col("c")).alias("code"),
+        scalars.outcome_line(F.col("page"), F.lit("pass"), F.create_map(F.lit("ascii"), F.lit("pass")), F.lit(None)).alias("line"),
+    )
+    assert [tuple(r) for r in row.collect()] == [
+        ("page-0007.fail.tex", "U+00E9", "page    7  ok    ascii=pass"),
+        ("page-12345.fail.tex", "U+1F600", "page 12345  ok    ascii=pass"),
+    ]
