@@ -696,6 +696,52 @@ def test_bpe_small_caches_change_nothing(own_and_library, monkeypatch):
     assert [int(i) for i in small.encode(t).split()] == library.encode_ordinary(t)
 
 
+def test_bpe_instructions_a_byte(own_and_library):
+    """Python's own work on words that were never seen, encoded and decoded; counted, so the machine's load doesn't matter."""
+    import sys
+
+    own = bpe.Tokenizer(own_and_library[0].transducer.ranks, bpe.vocabulary()[1])
+    r = random.Random(5)
+    parts = ["th", "er", "in", "tion", "heit", "ción", "é", "ou", "an", "lich", "st", "re"]
+    text = " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(4000))
+    count = 0
+
+    def one(code, at):
+        nonlocal count
+        count += 1
+
+    watch = sys.monitoring
+    watch.use_tool_id(watch.PROFILER_ID, "instructions")
+    watch.register_callback(watch.PROFILER_ID, watch.events.INSTRUCTION, one)
+    watch.set_events(watch.PROFILER_ID, watch.events.INSTRUCTION)
+    try:
+        ids = own.encode(text).split()
+        got = "".join(own.decode(ids))
+    finally:
+        watch.set_events(watch.PROFILER_ID, 0)
+        watch.free_tool_id(watch.PROFILER_ID)
+    assert got == text and [int(i) for i in ids] == own_and_library[1].encode_ordinary(text)
+    assert count < 70 * len(text.encode()), count
+
+
+def test_bpe_latin_pattern_is_the_general_one(own_and_library):
+    import regex
+
+    own, general, r = own_and_library[0], regex.compile(bpe.GENERAL).findall, random.Random(7)
+    allowed = [c for c in map(chr, range(0x250)) if not bpe._NOT_LATIN(c)]
+    for _ in range(20_000):
+        t = "".join(r.choice(r.choice([allowed, " '", "strevmldSTV'", " \n\t", "09_²"])) for _ in range(r.randint(1, 14)))
+        assert own.find(t) == general(t)
+    assert all(own.find(f"a{c} {c}1{c}") == general(f"a{c} {c}1{c}") for c in allowed)
+
+
+def test_bpe_ids_outside_the_vocabulary(own_and_library):
+    own, _ = own_and_library
+    for ids in (["1", "99999999"], ["-1"]):
+        with pytest.raises(KeyError):
+            "".join(own.decode(ids))
+
+
 def test_utf8_machine():
     text = "aé€😀z" * 3
     data = text.encode()
