@@ -28,7 +28,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import read, stage_table
+from quillspark.llm.shared import in_files, read, stage_table
 
 #: Looked-at positions, five each, over spans of six to nine tokens.
 MASKS = [(0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 8)]
@@ -37,6 +37,8 @@ THRESHOLD = 0.8
 SHORT = 10
 #: Seeds of the benchmark up to which its side is broadcast (some tens of MB), and places of a seed beyond.
 BROADCAST_KEYS = 200_000
+#: Benchmark items of a file; each becomes a seed for each of its tokens and masks in the task that reads it.
+ITEMS_PER_FILE = 1 << 10
 SALTS = 16
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 LONGEST_SPAN = max(m[-1] + 1 for m in MASKS)
@@ -105,7 +107,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, members, similarity, start): documents that hold an item, and where. threshold: THRESHOLD or more."""
     if threshold < THRESHOLD:
         raise ValueError(f"masks are made for a similarity of {THRESHOLD} or more")
-    own = stage_table(items(benchmark), "decontaminate-items")
+    own = stage_table(in_files(items(benchmark), benchmark.count(), ITEMS_PER_FILE), "decontaminate-items")
     lengths = {r[0] for r in own.where(F.col("n") <= SHORT).select("n").distinct().collect()}  # at most SHORT numbers
     masks = {n: listed for n, listed in own_masks().items() if n in lengths}
     seeds = stage_table(item_seeds(own, masks), "decontaminate-seeds")
@@ -122,7 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         met = probes.withColumn("salt", F.col("i") % SALTS).join(spread, ["seed", "kind", "salt"])
     hits = stage_table(met.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct(), "decontaminate-hits")
     hits = hits.withColumnRenamed("doc_id", "hit")
-    with_hits = stage_table(hits.select("hit").distinct(), "decontaminate-met")
+    with_hits = stage_table(in_files(hits.select("hit").distinct(), hits.count()), "decontaminate-met")
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(with_hits, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi").select("doc_id", token_hashes(F.col("text")).alias("w"))
     pairs = kept.join(hits, F.col("doc_id").eqNullSafe(F.col("hit"))).join(own, "item_id")
     scored = pairs.select("doc_id", "item_id", "members", "shift", (_agreeing(F.col("w"), F.col("t"), F.col("shift")) / F.col("n")).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import map_rows, read, replace_column
+from quillspark.llm.shared import forget, map_rows, read, replace_column
 
 KINDS = ["email", "ip", "card", "phone"]
 OUT = 4  # the type of a token outside
@@ -480,6 +480,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: S
     model = model or trained()
 
     def make():
+        forget()
+
         def step(ids, texts):
             counts, hashes, spans = [[] for _ in KINDS], [], []
             for text in texts:
@@ -502,6 +504,7 @@ def redact_documents(df: DataFrame, text_col: str = "text", model: SemiCrf | Non
     own = model or trained()
 
     def make():
+        forget()
         return lambda texts: [redact(t, find_spans(t, own)[1]) for t in texts]
 
     return replace_column(df, text_col, make)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,8 @@ from quillspark.functions.workers import importable, shared_folder
 #: Rows and bytes of a slice that a Python stage works on at a time; a larger row is a slice by itself, so a worker's memory is bounded by these and by the longest row.
 ROWS_PER_BATCH = 512
 BYTES_PER_BATCH = 1 << 20
+#: Rows of a file of a written table of a few numbers a row.
+ROWS_PER_FILE = 1 << 16
 #: Rows of the Arrow batches that carry texts between the JVM and Python.
 ARROW_ROWS = 1000
 #: Words of row numbers that are broadcast at most: 64 million rows, some 60 MB.
@@ -38,6 +41,11 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, rows: int, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """df, which has at most `rows` rows, in at most a partition for each per_file of them: a small table is not written as a file per partition of a shuffle."""
+    return df.coalesce(max(1, -(-rows // per_file)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -77,7 +85,7 @@ def without(df: DataFrame, row: str, away: DataFrame) -> DataFrame:
     word = lambda at: F.floor(at / 64).cast("long")
     numbers = away.select(F.col(row)["file"].alias("file"), F.col(row)["at"].alias("at"))
     words = numbers.groupBy(F.struct("file", word(F.col("at")).alias("word")).alias(of)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias(bits))
-    words = stage_table(words, "rows-away")
+    words = stage_table(in_files(words, df.count()), "rows-away")
     own = df.withColumn(of, F.struct(F.col(row)["file"].alias("file"), word(F.col(row)["at"]).alias("word")))
     joined = own.join(F.broadcast(words) if words.count() <= MOST_WORDS else words, of, "left")
     gone = F.col(bits).bitwiseAND(F.expr(f"shiftleft(1L, cast(`{row}`.at % 64 as int))")) != 0
@@ -158,12 +166,21 @@ def replace_column(df: DataFrame, column: str, make: Callable[[], Callable]) ->
 
 
 _kept: dict = {}
+_thresholds = gc.get_threshold()
+
+
+def forget() -> None:
+    """Free what an operator left in this worker process. Its objects may lead back to each other, and its thresholds may put off looking for such ones, so they are looked for now."""
+    if _kept:
+        _kept.clear()
+        gc.set_threshold(*_thresholds)
+        gc.collect()
 
 
 def kept(name: tuple, make: Callable):
     """An object that this worker process keeps from task to task. Only the last one asked for is kept, so operators that follow each other don't add up."""
     if name not in _kept:
-        _kept.clear()
+        forget()
         _kept[name] = make()
     return _kept[name]
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.functions.workers import importable
-from quillspark.llm.shared import map_rows, read, stage_table
+from quillspark.llm.shared import forget, in_files, map_rows, read, stage_table
 
 SEED = 42
 MAX_BITS = 3
@@ -40,6 +40,8 @@ BUCKET = 2048
 #: A key with over a SHARE-th of all rows goes a way of its own; SAMPLED fingerprints tell which.
 SHARE = 1000
 SAMPLED = 1 << 16
+#: Distinct fingerprints of a file; each becomes 64 keys in the task that reads it.
+NODES_PER_FILE = 1 << 12
 
 
 def fingerprint(text: str | None, block: int = 1 << 16) -> int:
@@ -62,6 +64,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id_col, fp): fp as a signed 64-bit number."""
 
     def make():
+        forget()
         return lambda ids, texts: (ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
     return map_rows(df.select(id_col, text_col), T.StructType([df.schema[id_col], T.StructField("fp", T.LongType())]), make)
@@ -144,6 +147,7 @@ def _bucket_links(keys: DataFrame, level: int, bucket: int = BUCKET) -> DataFram
             order = np.argsort(m["node"], kind="stable")
             return _linked(m["fp"][order].view(np.uint64), m["node"][order], int(m["seg"][0]), int(m["bit"][0]), level)
 
+        forget()
         held, large = None, None  # the run that may go on; the keys of a run that is already being passed on
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
@@ -244,14 +248,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round links each node's larger neighbours to the smallest neighbour, then its smaller ones and itself to their
     smallest, and ends when nothing changes: stars around the smallest nodes. Edges never become more, and
-    paths halve from round to round, so a path of a thousand nodes takes some eleven. Rounds are written tables.
+    paths halve from round to round, so a path of a thousand nodes takes some eleven. Rounds are written tables, in files by the number of edges.
     """
-    edges = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = stage_table(in_files(edges.distinct(), edges.count()), "component-edges")
     state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
         total = state[0]
-        wide = stage_table(_starred(edges, total, True), "component-wide")  # at most as many edges as before
-        edges = stage_table(_starred(wide, total, False), "component-edges")
+        wide = stage_table(in_files(_starred(edges, total, True), total), "component-wide")  # at most as many edges as before
+        edges = stage_table(in_files(_starred(wide, total, False), total), "component-edges")
         before, state = state, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -266,11 +271,12 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def classes_of(fps: DataFrame, choose: Column, bucket: int = BUCKET) -> DataFrame:
     """(fp, n, chosen) for each fingerprint of fps, a written table: its number of rows, and the least of choose, an aggregate of rows, in its component."""
-    nodes = stage_table(fps.groupBy("fp").agg(choose.alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    nodes = stage_table(in_files(fps.groupBy("fp").agg(choose.alias("least"), F.count(F.lit(1)).alias("n")), fps.count(), NODES_PER_FILE), "simhash-nodes")
     linked = components(links(nodes.select("fp", F.col("fp").alias("node")), bucket))
     labelled = stage_table(nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.col("n").alias("rows"), "least", F.coalesce("component", "fp").alias("label")), "simhash-labels")
     chosen = labelled.groupBy("label").agg(F.min("least").alias("chosen"), F.count(F.lit(1)).alias("n"))
-    return by_key(labelled, chosen, "label", labelled.count()).select("fp", F.col("rows").alias("n"), "chosen")
+    total = labelled.count()
+    return in_files(by_key(labelled, chosen, "label", total).select("fp", F.col("rows").alias("n"), "chosen"), total)
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,13 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import crc_mod, filter_rows, kept, map_rows, read, stage_table
+from quillspark.llm.shared import crc_mod, filter_rows, in_files, kept, map_rows, read, stage_table
 
 FOLDS = 5
 #: Labelled rows that are learnt from at most.
 SAMPLE = 6000
 #: Bytes of text that these rows have at most: of a larger sample the first by hash of the text.
 SAMPLE_BYTES = 96 << 20
+#: Sampled texts of a file.
+SAMPLED_PER_FILE = 1 << 10
 #: Tokens before and after a hit that are its context.
 WINDOW = 6
 #: Words of a passage: of a text the passage with most evidence counts.
@@ -308,7 +310,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     chosen = own.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)  # bounded, so it is broadcast
     got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null")
     one = got.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("x")).select("x.*").distinct()  # a text for each id, however many rows share it
-    got = stage_table(one, "toxicity-sample")
+    got = stage_table(in_files(one, sample, SAMPLED_PER_FILE), "toxicity-sample")
     until, size = None, 0
     for r in got.select("h", F.octet_length("text").alias("n")).orderBy("h").collect():  # two numbers for each of at most `sample` texts
         size += r["n"]

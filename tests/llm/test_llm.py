@@ -63,6 +63,50 @@ def test_rows_without_some(spark, tmp_path, monkeypatch, most):
         assert sorted(r.id for r in left.collect()) == sorted(r.id for r in df.where(f"not ({cond})").collect())
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    from quillspark.llm import shared
+
+    assert [shared.in_files(spark.range(100).repartition(50), n, 30).rdd.getNumPartitions() for n in (0, 30, 31, 10**6)] == [1, 1, 2, 50]
+    files, keep = {}, shared.stage_table
+
+    def noted(df, name):
+        out = keep(df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    for module in (shared, simhash, decontaminate, toxicity):
+        monkeypatch.setattr(module, "stage_table", noted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        df = docs(spark, [f"a{i // 3} b{i // 3} c{i // 3} d e f g h i j k l m n o p q r s t u v w x y z"[: 90 + i % 2] for i in range(90)])
+        assert simhash.simhash_components(df).count() == 90
+        assert decontaminate.contaminated(df, spark.createDataFrame([(i, f"d e f g h i j k l m n o item{i}") for i in range(60)], "item_id long, text string")).count() > 0
+        toxicity.train(df, spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    small = {"simhash-nodes", "simhash-classes", "component-wide", "component-edges", "decontaminate-items", "decontaminate-met"}
+    assert small <= files.keys() and all(n == 1 for name in small for n in files[name]), files
+    assert files["toxicity-sample"][0] <= 6000 / toxicity.SAMPLED_PER_FILE + 1
+
+
+def test_what_an_operator_remembers_goes_with_the_next():
+    import gc
+    import weakref
+
+    from quillspark.llm import shared
+
+    own = bpe.tokenizer(*bpe.vocabulary())
+    own.encode("words of a text, more words")
+    left = weakref.ref(own.transducer)  # it leads back to itself
+    del own
+    shared.kept(("other",), object)
+    assert left() is None and gc.get_threshold()[0] < 200_000
+    shared.forget()
+
+
 # ---- media
 
 
