@@ -90,6 +90,20 @@ def test_exit_criterion_and_summary(spark):
     assert {r.page: (r.no_transcribe, r.no_fix) for r in corrections.refusals(log).collect()} == {1: (True, True), 2: (False, True), 3: (True, True), 4: (True, False)}
 
 
+def test_mean_seconds_are_rounded_once(spark, tmp_path):
+    """50.347 is 50.3, not 50.4 by way of 50.35; a mode without seconds has no mean."""
+    import duckdb
+
+    from quillspark.plans.queries import ORACLES, QUERIES
+
+    rows = [(1, 7, 50.347), (2, 7, 49.349), (3, 8, 0.5), (4, 8, None), (9, 8, 50.347)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["mode_costs"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLES["mode_costs"]).fetchall()) and ("ink", "correcting", 2, 50.3) in got
+
+
 def test_replay(spark):
     groups = spark.createDataFrame([(1, p, g, "ascii", "d", 1, x, 2, None) for p, g, x in ((1, 1, "ex"), (1, 2, ""), (1, 3, ""), (2, 1, ""), (2, 2, ""), (2, 3, ""))], "session int, page int, group_no int, gate string, detail string, line int, excerpt string, instances int, source_image string")
     keys = [(1, 1, "k"), (1, 2, " F why"), (1, 3, ""), (2, 1, "c"), (2, 2, "q"), (2, 3, "e")]
