@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of a plan's input for each partition where rows are dealt out anew, so a task doesn't grow with the input.
+BYTES_PER_PART = 32 << 20
 
 _own_folder: list[str] = []
 
@@ -19,6 +22,12 @@ def importable() -> None:
             own["PYTHONPATH"] = f"{root}:{own.get('PYTHONPATH', '')}".rstrip(":")
 
 
+def parts(df: DataFrame, each: int | None = None) -> int:
+    """How many partitions df needs if each gets so many bytes, BYTES_PER_PART by default, by Spark's estimate of its size; of a table of files that is what the files have."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, -(-size // (each or BYTES_PER_PART)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local sessions without it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -138,6 +138,22 @@ def test_convert_and_stream(spark, tmp_path):
     assert {r.page: r.verdict for r in latest.collect()} == {1: "b", 2: "c"}
 
 
+def test_stream_files_grow_with_the_input(spark, sf_dir, monkeypatch):
+    """A task reads its share of the pages, not half of them."""
+    from pathlib import Path
+
+    from quillspark.functions import workers
+    from quillspark.plans.queries import QUERIES
+
+    folder = Path(workers.shared_folder(spark).removeprefix("file://"), "quillspark")
+    monkeypatch.setattr(workers, "BYTES_PER_PART", 20_000, raising=False)
+    before = set(folder.glob("stream-*"))
+    assert QUERIES["stream_convert"](spark, sf_dir).count() == 200
+    (own,) = set(folder.glob("stream-*")) - before
+    wanted = -(-Path(sf_dir, "documents.parquet").stat().st_size // 20_000)
+    assert len(list((own / "in").glob("*.parquet"))) == wanted > 4 and len(list((own / "manifest").glob("batch=*"))) == 1
+
+
 def test_assembly(spark):
     rows = [(1, 10, "o/page-10.tex", "pass", {}, "x"), (1, 2, "o/page-2.fail.tex", "fail", {"ascii": "fail", "d": "pass"}, "x"), (1, 3, "o/page-3.tex", "pass", {}, "\\documentclass"), (2, 1, None, "pass", {}, None)]
     out = {r.run: r for r in manifest.assemble(spark.createDataFrame(rows, "run int, page int, output string, verdict string, gates map<string,string>, text string")).collect()}
