@@ -6,27 +6,19 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.functions.workers import importable, shared_folder
+from quillspark.functions.workers import ARROW_ROWS, BYTES_PER_BATCH, ROWS_PER_BATCH, arrow_ready, shared_folder, slices  # noqa: F401
 
-#: Rows and bytes of a slice that a Python stage works on at a time; a larger row is a slice by itself, so a worker's memory is bounded by these and by the longest row.
-ROWS_PER_BATCH = 512
-BYTES_PER_BATCH = 1 << 20
 #: Rows of a file of a written table of a few numbers a row.
 ROWS_PER_FILE = 1 << 16
-#: Rows of the Arrow batches that carry texts between the JVM and Python.
-ARROW_ROWS = 1000
 #: Words of row numbers that are broadcast at most: 64 million rows, some 60 MB.
 MOST_WORDS = 1 << 20
-_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -92,28 +84,6 @@ def without(df: DataFrame, row: str, away: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce(gone, F.lit(False))).select(df.columns)
 
 
-def arrow_ready(spark: SparkSession) -> None:
-    """Let workers import the package, and have Arrow batches of ARROW_ROWS rows where the session has Spark's default: of long texts, ten thousand rows are too much for an executor."""
-    importable()
-    if spark.conf.get(_ARROW) == "10000":
-        spark.conf.set(_ARROW, str(ARROW_ROWS))
-
-
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of ROWS_PER_BATCH rows and BYTES_PER_BATCH bytes of texts and binaries at most, a larger row alone."""
-    size = np.zeros(batch.num_rows, np.int64)
-    for c in batch.columns:
-        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
-            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    until = np.cumsum(size)
-    at, n = 0, batch.num_rows
-    while at < n:
-        before = int(until[at - 1]) if at else 0
-        end = min(n, at + ROWS_PER_BATCH, max(at + 1, int(np.searchsorted(until, before + BYTES_PER_BATCH, "right"))))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable], *, finish: bool = False) -> DataFrame:
     """Run Python over Arrow batches.
 

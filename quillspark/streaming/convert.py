@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.workers import arrow_ready
 from quillspark.operators.manifest import pending
 from quillspark.plans.convert import outcomes
 
@@ -22,6 +23,7 @@ def run_stream(pages: DataFrame, emit: Callable[[DataFrame], DataFrame], manifes
     """Process what is there and stop. A batch's outcomes, with their text, are a written table of its number before the manifest has them:
     a batch that a restart repeats replaces its own rows in both. Pages that other batches finished are left out, and pages
     with an error come again when they are sent again."""
+    arrow_ready(pages.sparkSession)  # batches have a session of their own, with the settings that this one has when the stream starts
     table = f"{manifest}-outcomes"
 
     def write(batch: DataFrame, number: int) -> None:
