@@ -24,17 +24,20 @@ def is_rule(width: Column, height: Column) -> Column:
 
 def rgb(percent: Column) -> Column:
     """Three comma-separated percentages as 0 to 255; null if they aren't three numbers."""
-    parts = F.transform(F.split(percent, ","), lambda p: half_even(F.trim(F.regexp_replace(p, "%", "")).try_cast("double") * 255 / 100).cast("int"))
-    return F.when((F.size(parts) == 3) & ~F.exists(parts, lambda p: p.isNull()), F.struct(parts[0].alias("r"), parts[1].alias("g"), parts[2].alias("b")))
+    channel = lambda p: F.rint(F.trim(p).try_cast("double") * 255 / 100).cast("int")
+    channels = F.transform(F.split(F.replace(percent, F.lit("%"), F.lit("")), ","), channel)
+    one = lambda c: F.when((F.size(c) == 3) & ~F.exists(c, lambda p: p.isNull()), F.struct(c[0].alias("r"), c[1].alias("g"), c[2].alias("b")))
+    return F.transform(F.array(channels), one)[0]  # a list of one, so the channels are read once for all that looks at them
 
 
 def strokes(pages: DataFrame, page: str = "page", svg: str = "svg") -> DataFrame:
     """A row a stroked path: (page, ordinal, colour, stroke_w, x0, y0, x1, y1), the whole affine matrix applied; and its extent by scale alone."""
     paths = pages.select(page, F.posexplode(F.regexp_extract_all(F.col(svg), F.lit(SVG_PATH), F.lit(1))).alias("ordinal", "attrs"))
-    attr = lambda pattern: F.nullif(F.regexp_extract("attrs", pattern, 1), F.lit(""))
-    numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit(SVG_NUMBER), F.lit(0)), lambda x: x.cast("double"))
+    attr = lambda pattern: F.regexp_extract("attrs", pattern, 1)
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(SVG_NUMBER), F.lit(0)).cast("array<double>")
     paths = paths.select(page, "ordinal", rgb(attr(r'stroke="rgb\(([^)]*)\)"')).alias("colour"), attr(r'stroke-width="([0-9.]+)"').try_cast("double").alias("w"), numbers(attr(r'transform="matrix\(([^)]*)\)"')).alias("m"), numbers(attr(r'(?:^|\s)d="([^"]*)"')).alias("co"))
-    paths = paths.where((F.size("m") >= 6) & (F.size("co") >= 4))
+    # A filter would go below the numbers and read them a second time; a list of one or none is a filter that stays.
+    paths = paths.withColumn("kept", F.explode(F.when((F.size("m") >= 6) & (F.size("co") >= 4), F.array(F.lit(True))))).drop("kept")
     n = F.floor(F.size("co") / 2).cast("int")
     points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("co", i * 2).alias("x"), F.get("co", i * 2 + 1).alias("y")))
     paths = paths.withColumn("p", points)

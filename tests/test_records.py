@@ -31,6 +31,17 @@ def test_strokes_to_blocks(spark):
     assert p.points == 7 and abs(sum(p.bands) - 1) < 1e-9
 
 
+def test_strokes_read_each_attribute_once(spark):
+    """A filter below the numbers, and a colour looked at from many sides, read the source again and again."""
+    svg = """<svg><path transform="matrix(1 0 0 1 0 0)" d="M 1 2 L 3 4 L 9"/><path stroke="rgb(1%, 2%)" stroke-width="." transform="matrix(1 0 0 1 0 0)" d="M 1 2 L 3 4"/>
+<path stroke="rgb(0.98%,%50%,100)" stroke-width="2" transform="matrix(1 0 0 1 0)" d="M 1 2 L 3 4"/><path d="M 1 2 L 3 4"/><path stroke="rgb(0.98%,%50%,100)" stroke-width="2" transform="matrix(2 0 0 2 1 1 7)" d="M 1 2 L 3 4"/></svg>"""
+    s = ink.strokes(spark.createDataFrame([(1, svg), (2, None)], "page int, svg string"))
+    rows = [(r.ordinal, r.colour and tuple(r.colour), r.stroke_w, r.x0, r.y0, r.x1, r.y1, r.span_w, r.span_h) for r in s.orderBy("ordinal").collect()]
+    assert rows == [(0, None, None, 1.0, 2.0, 3.0, 4.0, 2.0, 2.0), (1, None, None, 1.0, 2.0, 3.0, 4.0, 2.0, 2.0), (4, (2, 128, 255), 4.0, 3.0, 5.0, 7.0, 9.0, 4.0, 4.0)]
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(ink.SVG_NUMBER) == 2 and plan.count("split(") == 1
+
+
 def test_rounding_to_even_colour(spark):
     got = spark.createDataFrame([("50%, 10%, 0.98%",), ("1,2",), ("a,b,c",)], "c string").select(ink.rgb(F.col("c")).alias("x")).collect()
     assert tuple(got[0].x) == (round(127.5), round(25.5), round(0.98 * 2.55)) and got[1].x is None and got[2].x is None
