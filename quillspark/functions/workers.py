@@ -55,9 +55,10 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def parts(df: DataFrame, each: int | None = None) -> int:
-    """How many partitions df needs if each gets so many bytes, BYTES_PER_PART by default, by Spark's estimate of its size; of a table of files that is what the files have."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, -(-size // (each or BYTES_PER_PART)))
+    """How many partitions df needs if each gets so many bytes of what it is read from, BYTES_PER_PART by default; 0 if Spark doesn't know, as of rows that the driver sent. Joins don't count: Spark takes their sizes for products."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return 0 if size > 1 << 55 else max(1, -(-size // (each or BYTES_PER_PART)))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -42,6 +42,22 @@ def test_strokes_read_each_attribute_once(spark):
     assert plan.count(ink.SVG_NUMBER) == 2 and plan.count("split(") == 1
 
 
+def test_blocks_are_dealt_by_the_size_of_the_input(spark, sf_dir, tmp_path, monkeypatch):
+    """What a task sorts doesn't grow with the input; nothing is dealt where Spark doesn't know the size."""
+    from quillspark.functions import workers
+    from quillspark.plans import queries
+
+    monkeypatch.setattr(ink, "BYTES_SORTED", 10_000, raising=False)
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    strokes = queries.strokes(spark, sf_dir)
+    kept = strokes.where(~ink.is_rule(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).count()
+    dealt = ink.page_blocks(strokes).select(F.spark_partition_id().alias("p"), "*").agg(F.count_distinct("p").alias("n"), F.sum("paths").alias("paths")).first()
+    assert dealt.n > 8 and dealt.paths == kept
+    wanted = workers.parts(table, 10_000)
+    assert wanted > 8 and workers.parts(table.join(table, "l_orderkey"), 10_000) in (2 * wanted - 1, 2 * wanted)
+    assert workers.parts(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "x int")) == 0
+
+
 def test_rounding_to_even_colour(spark):
     got = spark.createDataFrame([("50%, 10%, 0.98%",), ("1,2",), ("a,b,c",)], "c string").select(ink.rgb(F.col("c")).alias("x")).collect()
     assert tuple(got[0].x) == (round(127.5), round(25.5), round(0.98 * 2.55)) and got[1].x is None and got[2].x is None
